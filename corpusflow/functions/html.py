@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.fixed_values import BLOCK_TAGS, MUTED_TAGS
 
@@ -62,13 +63,13 @@ def _over(series: pd.Series, convert) -> pd.Series:
     return series.map(convert, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_strip(markup: pd.Series) -> pd.Series:
     """All text nodes, script and style text included."""
     return _over(markup, all_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_article(markup: pd.Series) -> pd.Series:
     """Readable text inside <article>, one line per block element."""
     return _over(markup, article_text)

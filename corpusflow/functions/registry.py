@@ -29,9 +29,12 @@ SIGNATURES = {
 }
 
 
-@F.pandas_udf(CHUNK_TYPE)
-def _chunk_array(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"content": t[a:b], "start": a} for a, b in chunk_spans(t)], na_action="ignore")
+def _chunk_array():
+    @F.pandas_udf(CHUNK_TYPE)
+    def split(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [{"content": t[a:b], "start": a} for a, b in chunk_spans(t)], na_action="ignore")
+
+    return split
 
 
 class _Chunks:
@@ -44,7 +47,7 @@ def register(spark: SparkSession) -> None:
     """SQL functions html_strip, extract_article, chunk_array, similarity and the table function chunk_text."""
     spark.udf.register("html_strip", html_strip)
     spark.udf.register("extract_article", extract_article)
-    spark.udf.register("chunk_array", _chunk_array)
+    spark.udf.register("chunk_array", _chunk_array())
     spark.udtf.register("chunk_text", F.udtf(_Chunks, returnType="chunk_index int, content string, start int"))
     spark.sql("""
         CREATE OR REPLACE TEMPORARY FUNCTION similarity(dist DOUBLE, space STRING DEFAULT 'l2') RETURNS DOUBLE

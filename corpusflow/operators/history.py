@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.text import decode_list, strip, words
 from corpusflow.operators.windows import cap_per_group
@@ -132,7 +133,7 @@ def daily_entries(turns: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def tool_appendix(tools_json: pd.Series) -> pd.Series:
     """Markdown section of a JSON tool-call list, '' when there is none. Indented JSON has no built-in."""
 

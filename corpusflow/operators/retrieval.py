@@ -99,16 +99,13 @@ def _merge_best(best: _Best, rows, row_ids, questions, question_ids, codes, k, f
             best.add(codes[at + q], block[r, q], row_ids[r])
 
 
-class _Questions:
-    """Collected questions grouped by collection key."""
-
-    def __init__(self, table: pa.Table, keys: Sequence[str]) -> None:
-        self.ids = table["qid"].to_numpy()
-        vectors = _matrix(table["qvec"])
-        members: dict[tuple, list[int]] = {}
-        for i, key in enumerate(zip(*[table[c].to_pylist() for c in keys])):
-            members.setdefault(key, []).append(i)
-        self.of_key = {key: (np.array(at), vectors[at]) for key, at in members.items()}
+def _by_key(table: pa.Table, keys: Sequence[str]) -> tuple[np.ndarray, dict]:
+    """Question ids, and per collection key the positions and vectors of its questions."""
+    vectors = _matrix(table["qvec"])
+    members: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*[table[c].to_pylist() for c in keys])):
+        members.setdefault(key, []).append(i)
+    return table["qid"].to_numpy(), {key: (np.array(at), vectors[at]) for key, at in members.items()}
 
 
 def _rows_by_key(batch: pa.RecordBatch, keys: Sequence[str], wanted) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -134,29 +131,27 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _scan_with_broadcast(questions, held: pa.Table, rows, keys, schema, k, floor, space, skip_self, counting):
-    context = rows.sparkSession.sparkContext
-    shared = context.broadcast(_Questions(held, keys))
+    shared = rows.sparkSession.sparkContext.broadcast(_by_key(held, keys))
     out = _arrow(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        best, counts = _Best(k), np.zeros(len(asked.ids), dtype=np.int64)
+        ids, of_key = shared.value
+        best, counts = _Best(k), np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
-            for key, part in _rows_by_key(batch, keys, asked.of_key):
-                codes, vectors = asked.of_key[key]
+            for key, part in _rows_by_key(batch, keys, of_key):
+                codes, vectors = of_key[key]
                 row_ids, matrix = part.column("id").to_numpy(zero_copy_only=False), _matrix(part.column("vec"))
                 if counting:
-                    for at, block in _block_scores(matrix, row_ids, vectors, asked.ids[codes], space, skip_self):
+                    for at, block in _block_scores(matrix, row_ids, vectors, ids[codes], space, skip_self):
                         counts[codes[at:at + block.shape[1]]] += (block >= floor).sum(axis=0)
                 else:
-                    _merge_best(best, matrix, row_ids, vectors, asked.ids[codes], codes, k, floor, space, skip_self)
+                    _merge_best(best, matrix, row_ids, vectors, ids[codes], codes, k, floor, space, skip_self)
         if counting:
             some = np.nonzero(counts)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(asked.ids[some]), pa.array(counts[some])], schema=out)
-        elif len(best.question):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], out.field(0).type), pa.array(counts[some])], schema=out)
+        else:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(asked.ids[best.question], out.field(0).type), pa.array(best.row, out.field(1).type),
-                 pa.array(best.score)],
+                [pa.array(ids[best.question], out.field(0).type), pa.array(best.row, out.field(1).type), pa.array(best.score)],
                 schema=out,
             )
 
@@ -173,25 +168,28 @@ def _grid(questions, rows, keys, schema, k, floor, space, skip_self, counting, c
             F.ceil(F.col("_nq") / cell_questions).cast("int").alias("_S"),
         )
     )
+    # fresh column names keep the two sides apart when both come from one table
+    left, right = [f"_c{i}" for i in range(len(keys))], [f"_q{i}" for i in range(len(keys))]
+    renamed = lambda names: [F.col(c).alias(n) for c, n in zip(keys, names)]
     tall = (
         rows.join(shape, list(keys))
         .withColumn("_r", F.pmod(F.xxhash64("id"), F.col("_R")).cast("int"))
         .withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_S") - 1)))
-        .select(*keys, "_r", "_s", "id", "vec")
+        .select(*renamed(left), F.col("_r").alias("_cr"), F.col("_s").alias("_cs"), "id", "vec")
     )
     wide = (
         questions.join(shape, list(keys))
         .withColumn("_s", F.pmod(F.xxhash64("qid"), F.col("_S")).cast("int"))
         .withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("_R") - 1)))
-        .select(*keys, "_r", "_s", "qid", "qvec")
+        .select(*renamed(right), F.col("_r").alias("_qr"), F.col("_s").alias("_qs"), "qid", "qvec")
     )
     out = _arrow(schema)
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
+    def cell(held: pa.Table, asking: pa.Table) -> pa.Table:
+        if held.num_rows == 0 or asking.num_rows == 0:
             return out.empty_table()
-        row_ids, matrix = left["id"].to_numpy(), _matrix(left["vec"])
-        asked, vectors = right["qid"].to_numpy(), _matrix(right["qvec"])
+        row_ids, matrix = held["id"].to_numpy(), _matrix(held["vec"])
+        asked, vectors = asking["qid"].to_numpy(), _matrix(asking["qvec"])
         if counting:
             counts = np.zeros(len(asked), dtype=np.int64)
             for at, block in _block_scores(matrix, row_ids, vectors, asked, space, skip_self):
@@ -205,8 +203,9 @@ def _grid(questions, rows, keys, schema, k, floor, space, skip_self, counting, c
             schema=out,
         )
 
-    at = [*keys, "_r", "_s"]
-    return tall.groupBy(*at).cogroup(wide.groupBy(*at)).applyInArrow(cell, schema)
+    return (
+        tall.groupBy(*left, "_cr", "_cs").cogroup(wide.groupBy(*right, "_qr", "_qs")).applyInArrow(cell, schema)
+    )
 
 
 def _winners(questions, rows, keys, *, k, floor, space, skip_self, counting, broadcast_bytes,

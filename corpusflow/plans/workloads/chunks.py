@@ -192,7 +192,7 @@ def unions(t: Tables) -> DataFrame:
 
 
 @query("scan_docs", """
-    SELECT source, count(*) AS n_lines, sum(n) AS n_chars
+    SELECT source, count(*) AS n_lines, sum(n)::BIGINT AS n_chars
     FROM (SELECT source, length(line) AS n FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents))
     GROUP BY 1
 """)
