@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,23 +81,26 @@ def search_turns(
 ) -> DataFrame:
     """Newest n turns per named search that hold all its terms: (search, *keys, query, response).
 
-    A posting survives only if one of the search's terms covers it; a turn needs as many distinct terms as
-    the search has. Phrases are then checked on the candidates' own text. Blank searches find nothing.
+    The terms stand in the plan, so a stored index is filtered in its scan and the postings meet no join. A turn
+    needs as many distinct terms as the search has. Phrases are then checked on the candidates' own text. Blank searches find nothing.
     """
     keys = list(keys)
     parsed = {name: query_terms(q) for name, q in searches.items()}
-    spark = turns.sparkSession
-    wanted = spark.createDataFrame(
-        [(name, i, token, prefix) for name, terms in parsed.items() for i, (token, prefix, _) in enumerate(terms)],
-        "search string, term int, want string, prefix boolean",
-    )
-    sizes = wanted.groupBy("search").agg(F.count("*").alias("_terms"))
-    covers = F.when(F.col("prefix"), F.startswith("token", F.col("want"))).otherwise(F.col("token") == F.col("want"))
-    # the search terms are call parameters, so their side is a handful of rows
+    parsed = {name: terms for name, terms in parsed.items() if terms}
+    wanted = [(name, i, *term[:2]) for name, terms in parsed.items() for i, term in enumerate(terms)]
+    if not wanted:
+        return turns.where("false").select(F.lit("").alias("search"), *keys, "query", "response")
+    covers = lambda token, want, prefix: token.startswith(want) if prefix else token == want
+    any_of = reduce(Column.__or__, [covers(F.col("token"), want, prefix) for _, _, want, prefix in wanted])
+    labels = F.array(*[
+        F.when(covers(F.col("token"), want, prefix), F.struct(F.lit(name).alias("search"), F.lit(i).alias("term")))
+        for name, i, want, prefix in wanted
+    ])
+    n_terms = F.create_map(*[F.lit(x) for name, terms in parsed.items() for x in (name, len(terms))])
     hits = (
-        index.join(F.broadcast(wanted), covers)
+        index.where(any_of).select(*keys, F.inline(F.array_compact(labels)))
         .groupBy("search", *keys).agg(F.count_distinct("term").alias("_found"))
-        .join(F.broadcast(sizes), "search").where(F.col("_found") == F.col("_terms"))
+        .where(F.col("_found") == F.element_at(n_terms, F.col("search")))
         .select("search", *keys)
     )
     matched = hits.join(turns, keys)

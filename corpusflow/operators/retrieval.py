@@ -30,6 +30,7 @@ from corpusflow.functions.text import strip
 BROADCAST_BYTES = 32 * 1024 * 1024
 CELL_ROWS = 65_536
 CELL_QUESTIONS = 4_096
+BROADCAST_KEYS = 50_000
 _SCORES_AT_ONCE = 4_000_000
 
 
@@ -168,6 +169,10 @@ def _grid(questions, rows, keys, schema, k, floor, space, skip_self, counting, c
             F.ceil(F.col("_nq") / cell_questions).cast("int").alias("_S"),
         )
     )
+    # collection keys are few as a rule; then both sides learn their grid without a shuffle
+    few = shape.limit(BROADCAST_KEYS + 1).collect()
+    if len(few) <= BROADCAST_KEYS:
+        shape = F.broadcast(rows.sparkSession.createDataFrame(few, shape.schema))
     # fresh column names keep the two sides apart when both come from one table
     left, right = [f"_c{i}" for i in range(len(keys))], [f"_q{i}" for i in range(len(keys))]
     renamed = lambda names: [F.col(c).alias(n) for c, n in zip(keys, names)]

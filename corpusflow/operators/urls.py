@@ -52,25 +52,27 @@ def cap_pages(urls: DataFrame, max_pages: int = 0) -> DataFrame:
     return cap_per_group(urls.select("source", "url").distinct(), ["source"], [F.col("url")], max_pages)
 
 
-def url_fingerprint(urls: DataFrame, whole_up_to: int = 100_000, width: int = 3) -> DataFrame:
+def url_fingerprint(urls: DataFrame, whole_part: int = 64, width: int = 3) -> DataFrame:
     """Marker of each source's URL set: (source, sha, n).
 
-    Up to `whole_up_to` URLs it is the SHA-256 of the sorted, newline-joined URLs. A larger set is hashed in
-    16^width parts by URL hash, and the part digests are hashed again, so no task ever holds a whole set.
+    It is the SHA-256 of the sorted, newline-joined distinct URLs. The set is gathered in 16^width parts by URL
+    hash; once a part holds more than `whole_part` URLs (sets beyond some 150,000 by default) the marker is the
+    hash of the part digests instead, so no task ever holds a large set. Either rule depends on the set alone.
     """
-    distinct = urls.select("source", "url").distinct()
-    sizes = distinct.groupBy("source").agg(F.count("*").alias("n"))
-    part = F.when(F.col("n") > whole_up_to, F.left(F.sha2("url", 256), F.lit(width))).otherwise("")
     digest = lambda sorted_texts: F.sha2(F.array_join(sorted_texts, "\n"), 256)
     parts = (
-        distinct.join(sizes, "source")
-        .groupBy("source", "n", part.alias("_part"))
-        .agg(digest(F.sort_array(F.collect_list("url"))).alias("_sha"))
+        urls.groupBy("source", F.left(F.sha2("url", 256), F.lit(width)).alias("_part"))
+        .agg(F.sort_array(F.collect_set("url")).alias("_urls"))
+        .select("source", "_part", "_urls", F.size("_urls").alias("_n"), digest(F.col("_urls")).alias("_sha"))
     )
-    joined = F.transform(F.array_sort(F.collect_list(F.struct("_part", "_sha"))), lambda p: p["_sha"])
-    return parts.groupBy("source", "n").agg(joined.alias("_shas")).select(
-        "source", F.when(F.col("n") > whole_up_to, digest(F.col("_shas"))).otherwise(F.col("_shas")[0]).alias("sha"), "n"
+    sets = parts.groupBy("source").agg(
+        F.sum("_n").alias("n"),
+        (F.max("_n") <= whole_part).alias("_whole"),
+        F.flatten(F.collect_list(F.when(F.col("_n") <= whole_part, F.col("_urls")))).alias("_all"),
+        F.array_sort(F.collect_list(F.struct("_part", "_sha"))).alias("_parts"),
     )
+    by_part = digest(F.transform("_parts", lambda p: p["_sha"]))
+    return sets.select("source", F.when(F.col("_whole"), digest(F.sort_array("_all"))).otherwise(by_part).alias("sha"), "n")
 
 
 def fetched_pages(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -41,15 +41,17 @@ def session_window(messages: DataFrame, max_turns: int = MAX_TURNS) -> DataFrame
 def with_next(df: DataFrame, group: str, order: str, columns: Sequence[str], block_rows: int = 4096) -> DataFrame:
     """Add next_<column> of the following row in the group, as `lead` would, without one task per group.
 
-    The group is cut into blocks of the (integer) order column. `lead` runs inside a block; the last row of a
-    block takes the head of the next block that has rows, found among the block heads only.
+    `order` is an ordinal from 0. The group is cut into blocks of it; `lead` runs inside a block, and the last
+    row of a block takes the head of the next block that has rows, found among the blocks only. Heads of first
+    blocks follow nothing, so groups of one block carry no second copy of their rows.
     """
     cut = df.withColumn("_block", F.floor(F.col(order) / block_rows))
     row = F.struct(*columns)
-    inner = Window.partitionBy(group, "_block").orderBy(order)
-    heads = cut.groupBy(group, "_block").agg(F.min_by(row, order).alias("_head"))
-    after = heads.select(group, "_block", F.lead("_head").over(Window.partitionBy(group).orderBy("_block")).alias("_after"))
-    paired = cut.withColumn("_next", F.lead(row).over(inner)).join(after, [group, "_block"])
+    heads = cut.groupBy(group, "_block").agg(F.min_by(F.when(F.col("_block") > 0, row), order).alias("_head"))
+    by_block = Window.partitionBy(group).orderBy("_block")
+    after = heads.select(group, "_block", F.lead("_head").over(by_block).alias("_after"))
+    inside = Window.partitionBy(group, "_block").orderBy(order)
+    paired = cut.withColumn("_next", F.lead(row).over(inside)).join(after, [group, "_block"])
     following = F.coalesce("_next", "_after")
     return paired.select(*df.columns, *[following[c].alias(f"next_{c}") for c in columns])
 
@@ -82,7 +84,8 @@ def dense_ids(df: DataFrame, order: Sequence[str], start: int | Column = 0, name
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
     first = F.lit(start) if isinstance(start, int) else start
-    return placed.join(offsets, "_part").select(
+    # one row per partition of `placed`
+    return placed.join(F.broadcast(offsets), "_part").select(
         (first + F.col("_offset") + F.col("_pos") + 1).alias(name), *df.columns
     )
 

@@ -140,20 +140,19 @@ def hops(t: Tables) -> DataFrame:
 
 @query("lineage_capped", f"""
     WITH {_EDGES_SQL},
-    seeds AS (SELECT 'supplier/' || s_suppkey AS seed FROM supplier),
+    seeds AS (SELECT 'part/' || p_partkey AS seed FROM part),
     one AS (SELECT seed, src AS node, 1 AS degree FROM seeds JOIN edges ON dst = seed),
     two AS (SELECT DISTINCT seed, src AS node, 2 AS degree FROM one JOIN edges ON dst = node),
-    three AS (SELECT DISTINCT seed, src AS node, 3 AS degree FROM two JOIN edges ON dst = node),
-    reached AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
+    reached AS (SELECT * FROM one UNION ALL SELECT * FROM two),
     totals AS (SELECT seed, count(*) AS total_all_hops FROM reached GROUP BY 1)
     SELECT seed, node, degree, total_all_hops FROM (
-        SELECT *, row_number() OVER (PARTITION BY seed ORDER BY degree, node) AS rn FROM reached WHERE degree <= 2
-    ) JOIN totals USING (seed) WHERE rn <= 50
+        SELECT *, row_number() OVER (PARTITION BY seed ORDER BY degree, node) AS rn FROM reached WHERE degree <= 1
+    ) JOIN totals USING (seed) WHERE rn <= 20
 """)
 def capped(t: Tables) -> DataFrame:
-    """The 50 nearest nodes within two hops upstream of every supplier, and how many there are in all."""
-    seeds = t.supplier.select(F.concat(F.lit("supplier/"), "s_suppkey").alias("seed"))
-    return capped_lineage(_edges(t), seeds, "UPSTREAM", 2)
+    """The first 20 orders one hop upstream of every part, and how many nodes there are over all hops."""
+    seeds = t.part.select(F.concat(F.lit("part/"), "p_partkey").alias("seed"))
+    return capped_lineage(_edges(t), seeds, "UPSTREAM", 1, 20)
 
 
 @query("dataset_detail", """

@@ -26,9 +26,13 @@ def doc_text(name: Column, raw: Column) -> Column:
 def scan_docs(spark: SparkSession, root: str, suffixes: Sequence[str] = DOC_SUFFIXES) -> DataFrame:
     """All files below `root` with one of the suffixes, in any letter case: (path, text).
 
-    `path` is relative to root. File names are filtered before any content is read.
+    `path` is relative to root. File names are filtered while listing, before any content is read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    any_case = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    pattern = "*{" + ",".join(any_case(s) for s in suffixes) + "}"
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    )
     base = root.rstrip("/") + "/"
     wanted = files.where(suffix(F.col("path")).isin([s.lower() for s in suffixes]))
     relative = F.element_at(F.split("path", F.lit(_quoted(base)), 2), -1)
