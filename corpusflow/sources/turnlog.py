@@ -45,7 +45,9 @@ def append_to_log(spark: SparkSession, results: DataFrame, order: Sequence[str],
 def write_daily_markdown(turns: DataFrame, path: str) -> None:
     """Day folders of markdown text in id order; the parts of a crowded day follow each other by part number."""
     ordered = daily_entries(turns).repartitionByRange("date", "id").sortWithinPartitions("date", "id")
-    ordered.select("date", "text").write.partitionBy("date").option("lineSep", "").text(path)
+    # the writer ends every row with a newline, so the entry's own last one is left out
+    entry = F.left("text", F.length("text") - 1).alias("text")
+    ordered.select("date", entry).write.partitionBy("date").text(path)
 
 
 def write_turn_markdown(turns: DataFrame, path: str) -> None:
