@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import dataset_urn, kv_to_map, parse_dataset_urn
@@ -14,11 +14,14 @@ from corpusflow.operators.lineage import capped_lineage, lineage
 from corpusflow.plans.workloads.base import Tables, query
 from corpusflow.plans.workloads.web import DOMAIN_SQL, with_source
 
-_PART_URN = dataset_urn(F.lower("p_type"), F.concat(F.lit("shop.part_"), "p_partkey"))
 _PART_URN_SQL = "'urn:li:dataset:(urn:li:dataPlatform:' || lower(p_type) || ',shop.part_' || p_partkey || ',PROD)'"
 
 
-def _properties(**fields):
+def _part_urn() -> Column:
+    return dataset_urn(F.lower("p_type"), F.concat(F.lit("shop.part_"), "p_partkey"))
+
+
+def _properties(**fields) -> Column:
     names = ("name", "displayName", "description", "definition")
     return F.struct(*[fields.get(n, F.lit(None).cast("string")).alias(n) for n in names]).alias("properties")
 
@@ -27,7 +30,7 @@ def _entities(t: Tables) -> DataFrame:
     """Raw entities whose names and descriptions are partly missing, so the fallbacks matter."""
     none = F.lit(None).cast("string")
     parts = t.part.select(
-        _PART_URN.alias("urn"), F.lit("DATASET").alias("type"), F.col("p_brand").alias("name"), F.lower("p_type").alias("platform"),
+        _part_urn().alias("urn"), F.lit("DATASET").alias("type"), F.col("p_brand").alias("name"), F.lower("p_type").alias("platform"),
         _properties(
             name=F.when(F.col("p_size") > 20, F.col("p_name")).otherwise(""),
             displayName=F.when(F.col("p_size") > 10, F.concat(F.lit("Shown "), "p_name")),
@@ -267,7 +270,7 @@ def urns(t: Tables) -> DataFrame:
 """)
 def tags(t: Tables) -> DataFrame:
     """Every part has its brand as tag; large ones get it once more, small ones get a bare tag name."""
-    urn = _PART_URN.alias("resource_urn")
+    urn = _part_urn().alias("resource_urn")
     brand = F.concat(F.lit("urn:li:tag:"), "p_brand")
     return add_tags(
         t.part.select(urn, brand.alias("tag_urn")),

@@ -5,7 +5,7 @@ The order status gives the kind of case, the priority the platform, the price th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.registry import signature_rows
@@ -16,22 +16,25 @@ from corpusflow.plans.workloads.base import Tables, query
 from corpusflow.sources.evaluation import read_eval, write_eval
 from corpusflow.session import scratch_path
 
-_PRIORITY, _STATUS = F.col("o_orderpriority"), F.col("o_orderstatus")
+
+def _order_columns() -> tuple[Column, Column]:
+    return F.col("o_orderpriority"), F.col("o_orderstatus")
 
 
 def _cases(t: Tables) -> DataFrame:
     text_map = "map<string,string>"
-    single = _STATUS == "F"
+    priority, status = _order_columns()
+    single = status == "F"
     return t.orders.select(
         F.col("o_orderkey").alias("id"),
-        F.when(single, "single_tool").when(_STATUS == "O", "multi_tool").otherwise("rag_only").alias("type"),
-        F.when(single & _PRIORITY.isin("1-URGENT", "2-HIGH"), "A_F").when(single, "R_O").alias("expected_tool"),
-        F.when(single & (_PRIORITY == "5-LOW"), F.array(F.lit("qty"), F.lit("warehouse")))
+        F.when(single, "single_tool").when(status == "O", "multi_tool").otherwise("rag_only").alias("type"),
+        F.when(single & priority.isin("1-URGENT", "2-HIGH"), "A_F").when(single, "R_O").alias("expected_tool"),
+        F.when(single & (priority == "5-LOW"), F.array(F.lit("qty"), F.lit("warehouse")))
         .when(single, F.array(F.lit("qty"))).alias("required_args"),
-        F.when(single & (_PRIORITY == "1-URGENT"), F.create_map(F.lit("line"), F.lit("1")))
-        .when(single & (_PRIORITY == "3-MEDIUM"), F.create_map(F.lit("region"), F.lit("None")))
+        F.when(single & (priority == "1-URGENT"), F.create_map(F.lit("line"), F.lit("1")))
+        .when(single & (priority == "3-MEDIUM"), F.create_map(F.lit("region"), F.lit("None")))
         .cast(text_map).alias("expected_arg_values"),
-        F.when(_STATUS == "P", F.when(_PRIORITY == "2-HIGH", "").when(_PRIORITY == "1-URGENT", "urgent").otherwise("LOW"))
+        F.when(status == "P", F.when(priority == "2-HIGH", "").when(priority == "1-URGENT", "urgent").otherwise("LOW"))
         .alias("expected_rag_keyword"),
     )
 
@@ -49,10 +52,11 @@ def _calls(t: Tables) -> DataFrame:
 
 
 def _results(t: Tables) -> DataFrame:
+    priority, _ = _order_columns()
     results = t.orders.select(
-        F.col("o_orderkey").alias("id"), _PRIORITY.alias("platform"),
-        F.concat(F.lit("Priority "), _PRIORITY, F.lit(" for "), "o_custkey").alias("response"),
-        F.when(F.col("o_totalprice") > 100000, _PRIORITY).otherwise("ambiguous").alias("routed"),
+        F.col("o_orderkey").alias("id"), priority.alias("platform"),
+        F.concat(F.lit("Priority "), priority, F.lit(" for "), "o_custkey").alias("response"),
+        F.when(F.col("o_totalprice") > 100000, priority).otherwise("ambiguous").alias("routed"),
         F.floor(F.col("o_totalprice") / 100).cast("int").alias("latency_ms"),
     )
     firsts = first_calls(_calls(t), order=["pos", "l_suppkey", "l_extendedprice"])
@@ -164,12 +168,13 @@ def latencies(t: Tables) -> DataFrame:
     FROM orders LEFT JOIN logged ON id = o_orderkey
 """)
 def sequences(t: Tables) -> DataFrame:
+    _, status = _order_columns()
     wanted = lambda *names: F.array(*[F.lit(n) for n in names])
     cases = t.orders.select(
         F.col("o_orderkey").alias("id"),
-        F.when(_STATUS == "F", wanted("A_F", "R_O")).when(_STATUS == "O", wanted("N_O"))
+        F.when(status == "F", wanted("A_F", "R_O")).when(status == "O", wanted("N_O"))
         .otherwise(wanted("A_F", "N_F", "R_F")).alias("expected_tools_sequence"),
-        F.when(_STATUS == "F", 2).when(_STATUS == "O", 1).otherwise(3).alias("min_tool_calls"),
+        F.when(status == "F", 2).when(status == "O", 1).otherwise(3).alias("min_tool_calls"),
     )
     return sequence_ok(cases, _calls(t).select("id", "pos", "name"), longest=3)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import decode_args
@@ -38,7 +38,7 @@ SESSION_SQL = """
 """
 
 
-def joined_messages() -> F.Column:
+def joined_messages() -> Column:
     return F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n")
 
 

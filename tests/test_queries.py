@@ -65,3 +65,12 @@ def test_prefix_and_columns_reach_the_scan(spark, folder):
     assert "StringStartsWith(url,https://)" in text
     text = QUERIES["platform_facets"](spark, folder)._jdf.queryExecution().executedPlan().treeString()
     assert "ReadSchema: struct<p_brand:string>" in text
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"],
+                   cwd=Path(__file__).parent.parent, check=True)
