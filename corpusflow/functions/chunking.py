@@ -101,7 +101,8 @@ def chunk_text(
             na_action="ignore",
         )
 
-    return split(text)
+    # keeps Catalyst from copying the function into filters on its result
+    return split.asNondeterministic()(text)
 
 
 def explode_chunks(docs: DataFrame, path: str, text: str, **options) -> DataFrame:

@@ -63,13 +63,14 @@ def _over(series: pd.Series, convert) -> pd.Series:
     return series.map(convert, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def html_strip(markup: pd.Series) -> pd.Series:
-    """All text nodes, script and style text included."""
-    return _over(markup, all_text)
+def _text_udf(convert, doc: str):
+    def run(markup: pd.Series) -> pd.Series:
+        return _over(markup, convert)
 
+    run.__doc__ = doc
+    # Catalyst copies a deterministic Python function into pushed-down filters and so parses every page twice
+    return F.pandas_udf(run, T.StringType()).asNondeterministic()
 
-@F.pandas_udf(T.StringType())
-def extract_article(markup: pd.Series) -> pd.Series:
-    """Readable text inside <article>, one line per block element."""
-    return _over(markup, article_text)
+
+html_strip = _text_udf(all_text, "All text nodes, script and style text included.")
+extract_article = _text_udf(article_text, "Readable text inside <article>, one line per block element.")

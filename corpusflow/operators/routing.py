@@ -25,14 +25,17 @@ def weighted(keywords: Keywords = ROUTING_KEYWORDS, strong: Keywords = STRONG_RO
 
 
 def keyword_hits(df: DataFrame, text: str, dictionary: Sequence[tuple[str, str, int]]) -> DataFrame:
-    """One row per dictionary entry contained in the text; the entries sit in the plan, so nothing shuffles."""
+    """One row per dictionary entry contained in the text; the entries stand in the plan, so nothing shuffles."""
     lowered = F.lower(F.col(text))
     entries = F.array(*[
-        F.struct(F.lit(l).alias("label"), F.lit(w).alias("keyword"), F.lit(n).alias("weight")) for l, w, n in dictionary
+        F.when(
+            F.contains(lowered, F.lit(word)),
+            F.struct(F.lit(label).alias("label"), F.lit(word).alias("keyword"), F.lit(weight).alias("weight")),
+        )
+        for label, word, weight in dictionary
     ])
     rest = [c for c in df.columns if c != text]
-    found = F.filter(entries, lambda e: F.contains(lowered, e["keyword"]))
-    return df.select(*rest, F.inline(found))
+    return df.select(*rest, F.inline(F.array_compact(entries)))
 
 
 def _score(lowered: Column, entries: list[tuple[str, int]]) -> Column:

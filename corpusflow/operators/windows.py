@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,16 +90,19 @@ def dense_ids(df: DataFrame, order: Sequence[str], start: int | Column = 0, name
     )
 
 
-def rank_values(df: DataFrame, key: str, value: str, picks: dict[str, Column]) -> DataFrame:
+def rank_values(
+    df: DataFrame, key: str, value: str, picks: dict[str, Column], sums: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Order statistics per group: for each pick, the value at a 1-based rank given as an expression of `n`.
 
     Rows are first counted per distinct value, before the shuffle; the running total then sees distinct
-    values only, not rows.
+    values only, not rows. `sums` are summed along the way, in the same pass over the rows.
     """
-    counts = df.groupBy(key, value).agg(F.count("*").alias("_c"))
+    sums = dict(sums or {})
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_c"), *[F.sum(c).alias(n) for n, c in sums.items()])
     by_value = Window.partitionBy(key).orderBy(value)
     ranked = counts.withColumn("_upto", F.sum("_c").over(by_value)).withColumn(
         "n", F.sum("_c").over(Window.partitionBy(key))
     )
     found = [F.min(F.when(F.col("_upto") >= rank, F.col(value))).alias(name) for name, rank in picks.items()]
-    return ranked.groupBy(key).agg(F.max("n").alias("n"), *found)
+    return ranked.groupBy(key).agg(F.max("n").alias("n"), *found, *[F.sum(n).alias(n) for n in sums])

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusflow.session import spread_small
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -21,6 +23,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy row-wise work: small ones are dealt out to all cores first."""
+        return spread_small(getattr(self, name), f"{self.folder}/{name}.parquet")
+
 
 def query(name: str, sql: str | None = None):
     """Register a function of Tables under a name, with the SQL that gives the same rows."""

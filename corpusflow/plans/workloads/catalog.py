@@ -232,7 +232,7 @@ def versions(t: Tables) -> DataFrame:
 def nested(t: Tables) -> DataFrame:
     """Documents as an array of lines of an array of sentences, flattened over both levels."""
     lines = F.transform(F.split("text", "\n"), lambda line: F.struct(F.split(line, r"\. ").alias("sentences")))
-    shaped = t.documents.select("doc_id", lines.alias("lines"))
+    shaped = t.spread("documents").select("doc_id", lines.alias("lines"))
     return flatten_nested(shaped, F.col("lines"), lambda line: line["sentences"]).drop("lines")
 
 
@@ -246,7 +246,7 @@ def key_values(t: Tables) -> DataFrame:
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
     base = [pair("kind", F.col("event_type")), pair("k", F.get_json_object("props", "$.k"))]
     pairs = F.when(F.col("value") > 20, F.array(*base, pair("kind", F.lit("large")))).otherwise(F.array(*base))
-    return t.events.select("event_id", kv_to_map(pairs).alias("m")).select(
+    return t.spread("events").select("event_id", kv_to_map(pairs).alias("m")).select(
         "event_id", F.element_at("m", "kind").alias("kind"), F.element_at("m", "k").alias("k"), F.size("m").alias("n")
     )
 

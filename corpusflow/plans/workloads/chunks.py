@@ -24,7 +24,7 @@ _PATH = "concat(source, '/', doc_id, '.txt')"
 
 
 def _docs(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.expr(_PATH).alias("path"), "text")
+    return t.spread("documents").select("doc_id", F.expr(_PATH).alias("path"), "text")
 
 
 @query("chunk_stats", r"""

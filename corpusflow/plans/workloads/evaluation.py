@@ -192,7 +192,7 @@ def missing(t: Tables) -> DataFrame:
     )
     quantity = F.when(F.col("l_quantity") <= 5, "").otherwise(F.col("l_quantity").cast("string"))
     tax = F.when(F.col("l_tax") != 0, F.col("l_tax").cast("string"))
-    calls = t.lineitem.select(
+    calls = t.spread("lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("name"),
         F.create_map(F.lit("qty"), quantity, F.lit("tax"), tax).alias("args"),
     )
@@ -208,7 +208,7 @@ def missing(t: Tables) -> DataFrame:
 def registry_calls(t: Tables) -> DataFrame:
     """Line items as calls of the registered function `similarity`, checked against its own signature."""
     distance = F.when(F.col("l_linestatus") == "O", F.col("l_discount").cast("string"))
-    calls = t.lineitem.select(
+    calls = t.spread("lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", F.lit("similarity").alias("name"),
         F.create_map(F.lit("dist"), distance).alias("args"),
     )

@@ -144,7 +144,7 @@ def _logged(t: Tables) -> DataFrame:
             F.lit('[{"source": "docs\\\\a'), "event_id", F.lit('.md", "score": 0.5}, {"source": "b.md", "score": 0.25}]')))
         .when(kind == "error", "none").otherwise("[]")
     )
-    return t.events.withColumns({
+    return t.spread("events").withColumns({
         "tools_json": tools, "rag_sources_json": sources,
         "latency_ms": F.when(kind != "signup", F.floor(F.col("value") * 10).cast("int")),
     })

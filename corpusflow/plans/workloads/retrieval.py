@@ -170,7 +170,7 @@ _EMBED = """
     FROM documents LEFT JOIN weights ON id = doc_id GROUP BY 1
 """)
 def embed_docs(t: Tables) -> DataFrame:
-    v = t.documents.select("doc_id", embed(F.col("text"), DIMS).alias("v"))
+    v = t.spread("documents").select("doc_id", embed(F.col("text"), DIMS).alias("v"))
     position = F.sequence(F.lit(1), F.size("v"))
     return v.select(
         "doc_id", F.size("v").alias("dims"), F.size(F.filter("v", lambda x: x != 0)).alias("filled"),
@@ -212,7 +212,7 @@ def ask_benchmark(t: Tables) -> DataFrame:
     """Route every benchmark question by language, then search the documents of that language."""
     questions = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     path = F.concat(F.lit("doc/"), "doc_id")
-    docs = t.documents.select(
+    docs = t.spread("documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"), embed(F.col("text"), DIMS).alias("embedding"),
         path.alias("source"), F.col("lang").alias("platform"),
     )

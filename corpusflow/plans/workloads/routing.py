@@ -49,12 +49,12 @@ def _route_sql(source: str, keys: str, values: str, override: str = "NULL") -> s
     SELECT conv_id, turn, label, keyword, weight FROM conversations JOIN dictionary ON contains(lower(text), keyword)
 """)
 def hits(t: Tables) -> DataFrame:
-    return keyword_hits(t.conversations.select("conv_id", "turn", "text"), "text", LANGUAGES)
+    return keyword_hits(t.spread("conversations").select("conv_id", "turn", "text"), "text", LANGUAGES)
 
 
 @query("route_keywords", _route_sql("SELECT conv_id, turn, text FROM conversations", "conv_id, turn", LANGUAGE_VALUES))
 def route_keywords(t: Tables) -> DataFrame:
-    return route(t.conversations, "text", LANGUAGES).select("conv_id", "turn", "label")
+    return route(t.spread("conversations"), "text", LANGUAGES).select("conv_id", "turn", "label")
 
 
 _QUESTION = """

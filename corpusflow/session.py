@@ -44,6 +44,25 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def spread_small(df: DataFrame, path: str) -> DataFrame:
+    """Rows of a small input dealt out to all cores, for row-wise work that costs more than a shuffle of it.
+
+    A small file is one scan task however many cores there are. An input of at least one full split per core
+    already keeps them all busy and is returned as it is: large text is never shuffled for this.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    cores = spark.sparkContext.defaultParallelism
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df.repartition(cores) if files.getContentSummary(folder).getLength() < cores * split else df
+
+
+def _bytes(size: str) -> int:
+    digits = size.lower().rstrip("bkmgt")
+    return int(digits) * {"": 1, "k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}[size.lower().rstrip("b")[len(digits):]]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result is read back from the shared folder, also after an executor is lost."""
     checkpoint_root(df.sparkSession)

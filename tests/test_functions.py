@@ -219,7 +219,7 @@ def test_embed_plug_in_and_empty_text(spark):
     df = spark.createDataFrame([("one two two",), ("",), (None,)], "t string")
 
     def load():
-        return lambda batch: np.array([[len(words), 4.0 if words else 0.0] for words in batch], dtype=float)
+        return lambda texts: np.array([[len(t.split()), 4.0 if t else 0.0] for t in texts], dtype=float)
 
     rows = [r[0] for r in df.select(embed(F.col("t"), 2, load)).collect()]
     assert rows[0] == pytest.approx([0.6, 0.8]) and rows[1] == [0.0, 0.0] and rows[2] == [0.0, 0.0]
