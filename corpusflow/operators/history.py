@@ -128,7 +128,8 @@ def daily_entries(turns: DataFrame) -> DataFrame:
         "## #%s · %s · %s · %sms\n\n", "id", "ts", F.coalesce("platform", F.lit("unknown")),
         F.coalesce("latency_ms", F.lit(0)),
     )
-    return dated.join(firsts, "date").select(
+    # one row per calendar day
+    return dated.join(F.broadcast(firsts), "date").select(
         "date", "id",
         F.concat(
             heading, F.lit("---\n\n"), title, F.lit("**Q:** "), strip(F.col("query")),

@@ -12,12 +12,29 @@ from corpusflow.functions.fixed_values import MAX_TURNS
 from corpusflow.session import cut_lineage
 
 
+# up to this cap Catalyst limits ranks before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold)
+_RANK_LIMIT = 1000
+_SALTS = 64
+_VALUES_PER_BLOCK = 4096
+
+
 def cap_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First n rows per group. The rank limit is pushed below the shuffle, so a task sends n rows per group."""
+    """First n rows per group in a total order; 0 keeps all.
+
+    A small cap is applied in every task before the shuffle, so a crowded group sends n rows per task. A large
+    one is first applied to slices of each group, which spreads a crowded group over many tasks.
+    """
     if not n:
         return df
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    first = lambda rows, *by: rows.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    ).where(F.col("_rn") <= n).drop("_rn")
+    if n > _RANK_LIMIT:
+        # a hash of the row, not a random number: a task that runs again must slice the same way
+        hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*hashable), F.lit(_SALTS)))
+        df = first(sliced, *keys, "_slice").drop("_slice")
+    return first(df, *keys)
 
 
 def latest_per_key(
@@ -93,16 +110,24 @@ def dense_ids(df: DataFrame, order: Sequence[str], start: int | Column = 0, name
 def rank_values(
     df: DataFrame, key: str, value: str, picks: dict[str, Column], sums: Mapping[str, Column] | None = None
 ) -> DataFrame:
-    """Order statistics per group: for each pick, the value at a 1-based rank given as an expression of `n`.
+    """Order statistics of an integer per group: for each pick, the value at a 1-based rank, an expression of `n`.
 
-    Rows are first counted per distinct value, before the shuffle; the running total then sees distinct
-    values only, not rows. `sums` are summed along the way, in the same pass over the rows.
+    Rows are first counted per distinct value, before the shuffle. The running total then runs inside blocks of
+    values, on top of the total of the blocks before. `sums` are summed along the way, in the same pass over the
+    rows.
     """
     sums = dict(sums or {})
-    counts = df.groupBy(key, value).agg(F.count("*").alias("_c"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    by_value = Window.partitionBy(key).orderBy(value)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(by_value)).withColumn(
-        "n", F.sum("_c").over(Window.partitionBy(key))
+    counts = (
+        df.groupBy(key, value).agg(F.count("*").alias("_c"), *[F.sum(c).alias(n) for n, c in sums.items()])
+        .withColumn("_block", F.floor(F.col(value) / _VALUES_PER_BLOCK))
+    )
+    group = Window.partitionBy(key)
+    before = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy(key, "_block").agg(F.sum("_c").alias("_b")).select(
+        key, "_block", F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_before"), F.sum("_b").over(group).alias("n")
     )
-    found = [F.min(F.when(F.col("_upto") >= rank, F.col(value))).alias(name) for name, rank in picks.items()]
+    inside = Window.partitionBy(key, "_block").orderBy(value)
+    ranked = counts.withColumn("_in", F.sum("_c").over(inside)).join(blocks, [key, "_block"])
+    reached = F.col("_before") + F.col("_in")
+    found = [F.min(F.when(reached >= rank, F.col(value))).alias(name) for name, rank in picks.items()]
     return ranked.groupBy(key).agg(F.max("n").alias("n"), *found, *[F.sum(n).alias(n) for n in sums])

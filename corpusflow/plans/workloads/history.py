@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import decode_args
+from corpusflow.functions.text import decode_args, iso_seconds
 from corpusflow.operators.history import (
     build_index, daily_entries, decode_turns, get_turn, query_history, recent, render_turns, search_like, search_turns,
     turn_count,
@@ -195,7 +195,7 @@ def _log_sql() -> str:
 
 def _turn_log(t: Tables) -> DataFrame:
     logged = _logged(t).select(
-        F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
+        F.col("event_id").alias("id"), iso_seconds(F.col("ts")).alias("ts"),
         F.col("event_type").alias("platform"), "tools_json", "rag_sources_json", "latency_ms",
     )
     return turns(t).withColumn("id", F.col("conv_id") * 8 + F.col("turn")).join(logged, "id")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import iso_seconds
 from corpusflow.operators.refresh import detect_changes, is_due, is_stale, new_versions, refresh_rollup, reingest
 from corpusflow.plans.workloads.base import Tables, query
 from corpusflow.session import scratch_path
@@ -33,8 +34,8 @@ def _sources(t: Tables) -> DataFrame:
     )
 
 
-def _clock(ts: str = "ts"):
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+def _clock() -> Column:
+    return iso_seconds(F.col("ts"))
 
 
 def _versions(t: Tables) -> DataFrame:

@@ -149,6 +149,20 @@ def test_percentiles_equal_sorting(spark, values):
     assert (found.n, found.p50, found.p95) == (len(values), int(statistics.median(values)), ordered[int(0.95 * (len(values) - 1))])
 
 
+def test_percentiles_over_several_value_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows, "_VALUES_PER_BLOCK", 10)
+    df = frame(spark, "g string, v int", *[("g", v) for v in range(-50, 51)])
+    assert tuple(evaluation.latency_summary(df, "g", "v").head()) == ("g", 101, 0, 45)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 100])
+def test_large_caps_are_exact(spark, monkeypatch, n):
+    df = frame(spark, "g string, v int", *[("hot", v) for v in range(90)], *[("cold", v) for v in range(5)])
+    plain = windows.cap_per_group(df, ["g"], [F.col("v")], n)
+    monkeypatch.setattr(windows, "_RANK_LIMIT", 0)
+    assert rows(windows.cap_per_group(df, ["g"], [F.col("v")], n), "g", "v") == rows(plain, "g", "v")
+
+
 @pytest.mark.parametrize("expected, least, calls, ok", [
     (["a", "b"], 2, ["a", "x", "b"], True), (["a", "b"], 2, ["b", "a"], False), (["a", "a"], 2, ["a"], False),
     (["a", "a"], 2, ["a", "a"], True), (["a"], 2, ["a"], False), ([], 0, [], True), (["a"], 1, [], False),
