@@ -11,53 +11,49 @@ from corpusflow.operators.windows import cap_per_group
 from corpusflow.session import cut_lineage
 
 
-def _step(frontier: DataFrame, edges: DataFrame, degree: int) -> DataFrame:
-    """Nodes one edge further; distinct (seed, node), so parallel paths collapse before the next hop."""
-    return (
-        frontier.select("seed", F.col("node").alias("src")).join(edges, "src")
-        .select("seed", F.col("dst").alias("node")).distinct()
-        .withColumn("degree", F.lit(degree))
-    )
-
-
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     direction = (direction or "UPSTREAM").upper()
     if direction not in ("UPSTREAM", "DOWNSTREAM"):
         raise ValueError(f"unknown direction: {direction}")
-    if direction == "DOWNSTREAM":
-        return edges.select("src", "dst").distinct()
-    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    src, dst = ("src", "dst") if direction == "DOWNSTREAM" else ("dst", "src")
+    return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+
+
+def _walk(edges: DataFrame, seeds: DataFrame, direction: str, max_hops: int | None) -> DataFrame:
+    """Breadth-first levels. Each hop joins the newest level only, and is checkpointed, so that the next hop and
+    the result read it instead of computing it again; a last bounded hop stays lazy."""
+    ways = _oriented(edges, direction)
+    if max_hops != 1:
+        ways = cut_lineage(ways)
+    levels = [seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("degree"))]
+    while max_hops is None or len(levels) <= max_hops:
+        reached = reduce(DataFrame.unionByName, levels).select("seed", "node")
+        # distinct (seed, node): parallel paths collapse before the next hop
+        found = (
+            levels[-1].select("seed", F.col("node").alias("src")).join(ways, "src")
+            .select("seed", F.col("dst").alias("node")).distinct()
+            .join(reached, ["seed", "node"], "left_anti")
+            .withColumn("degree", F.lit(len(levels)))
+        )
+        if len(levels) != max_hops:
+            found = cut_lineage(found)
+            if found.isEmpty():
+                break
+        levels.append(found)
+    return reduce(DataFrame.unionByName, levels).where(F.col("degree") > 0)
 
 
 def lineage(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM", max_hops: int = 1) -> DataFrame:
     """Nodes within max_hops of each seed and their smallest distance: (seed, node, degree).
 
     edges: src, dst, pointing downstream; seeds: seed. A node is expanded once per seed, so cycles end.
-    Every hop adds one join to a single lazy plan; use `lineage_all` when the depth is not a small number.
     """
-    ways = _oriented(edges, direction)
-    frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("degree"))
-    levels = [frontier]
-    for degree in range(1, max_hops + 1):
-        seen = reduce(DataFrame.unionByName, levels).select("seed", "node")
-        frontier = _step(frontier, ways, degree).join(seen, ["seed", "node"], "left_anti")
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels[1:])
+    return _walk(edges, seeds, direction, max_hops)
 
 
 def lineage_all(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM") -> DataFrame:
-    """Unbounded `lineage`: stops at an empty frontier and checkpoints each hop to the shared folder."""
-    ways = cut_lineage(_oriented(edges, direction))
-    frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("degree"))
-    reached = frontier
-    degree = 0
-    while True:
-        degree += 1
-        found = _step(frontier, ways, degree).join(reached.select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = cut_lineage(found)
-        if frontier.isEmpty():
-            return reached.where(F.col("degree") > 0)
-        reached = cut_lineage(reached.unionByName(frontier)) if degree % 8 == 0 else reached.unionByName(frontier)
+    """`lineage` without a bound on the hops; it stops when a hop finds nothing new."""
+    return _walk(edges, seeds, direction, None)
 
 
 def capped_lineage(

@@ -59,16 +59,17 @@ def with_next(df: DataFrame, group: str, order: str, columns: Sequence[str], blo
     """Add next_<column> of the following row in the group, as `lead` would, without one task per group.
 
     `order` is an ordinal from 0. The group is cut into blocks of it; `lead` runs inside a block, and the last
-    row of a block takes the head of the next block that has rows, found among the blocks only. Heads of first
-    blocks follow nothing, so groups of one block carry no second copy of their rows.
+    row of a block takes the head of the next block that has rows, found among the blocks only. A group of one
+    block has neither next block nor head, so for short groups that side is empty.
     """
     cut = df.withColumn("_block", F.floor(F.col(order) / block_rows))
     row = F.struct(*columns)
-    heads = cut.groupBy(group, "_block").agg(F.min_by(F.when(F.col("_block") > 0, row), order).alias("_head"))
     by_block = Window.partitionBy(group).orderBy("_block")
-    after = heads.select(group, "_block", F.lead("_head").over(by_block).alias("_after"))
+    steps = cut.select(group, "_block").distinct().withColumn("_to", F.lead("_block").over(by_block))
+    heads = cut.where(F.col("_block") > 0).groupBy(group, F.col("_block").alias("_to")).agg(F.min_by(row, order).alias("_after"))
+    after = steps.where(F.col("_to").isNotNull()).join(heads, [group, "_to"]).drop("_to")
     inside = Window.partitionBy(group, "_block").orderBy(order)
-    paired = cut.withColumn("_next", F.lead(row).over(inside)).join(after, [group, "_block"])
+    paired = cut.withColumn("_next", F.lead(row).over(inside)).join(after, [group, "_block"], "left")
     following = F.coalesce("_next", "_after")
     return paired.select(*df.columns, *[following[c].alias(f"next_{c}") for c in columns])
 

@@ -112,7 +112,7 @@ def objects(t: Tables) -> DataFrame:
 
 def _edges(t: Tables) -> DataFrame:
     node = lambda kind, column: F.concat(F.lit(f"{kind}/"), column)
-    lines = t.lineitem
+    lines = t.spread("lineitem")
     return (
         t.orders.select(node("customer", "o_custkey").alias("src"), node("order", "o_orderkey").alias("dst"))
         .unionByName(lines.select(node("order", "l_orderkey").alias("src"), node("part", "l_partkey").alias("dst")))
@@ -183,7 +183,7 @@ def detail(t: Tables) -> DataFrame:
     """An order as dataset: line items are fields (first five shown), the customer owns it, the nation is its domain."""
     urn = F.col("l_orderkey").alias("urn")
     path = F.concat_ws("/", "l_partkey", "l_suppkey", F.floor("l_extendedprice").cast("int"))
-    fields = t.lineitem.select(
+    fields = t.spread("lineitem").select(
         urn, F.col("l_linenumber").alias("pos"), path.alias("path"), F.col("l_returnflag").alias("type"),
         F.lit(None).cast("string").alias("description"),
     )

@@ -119,7 +119,7 @@ _NEXT_SQL = r"""
 
 
 def _snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
-    doc = lambda content: t.documents.select(F.concat(F.lit("doc/"), "doc_id").alias("id"), content.alias("content"))
+    doc = lambda content: t.spread("documents").select(F.concat(F.lit("doc/"), "doc_id").alias("id"), content.alias("content"))
     clean = union_sources(
         doc(F.trim(F.regexp_replace("text", "[ \t\n\r]+", " "))),
         t.benchmark.select(F.concat(F.lit("bench/"), "item_id").alias("id"), F.col("text").alias("content")),

@@ -40,7 +40,7 @@ def _cases(t: Tables) -> DataFrame:
 
 
 def _calls(t: Tables) -> DataFrame:
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         F.col("l_orderkey").alias("id"),
         (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("pos"),
         F.concat_ws("_", "l_returnflag", "l_linestatus").alias("name"),

@@ -24,7 +24,7 @@ _TYPE = """
 
 def _sources(t: Tables) -> DataFrame:
     lines = F.size(F.split("text", "\n")) - 1
-    return t.documents.select(
+    return t.spread("documents").select(
         F.concat(F.lit("doc/"), "doc_id").alias("id"),
         F.concat_ws("/", "source", "lang").alias("platform"),
         F.expr(_TYPE).alias("type"),
