@@ -26,6 +26,10 @@ MAX_AGE_DAYS = 7
 MIN_SUCCESS_RATIO = 0.80
 MAX_LISTED_FILES = 50
 
+# Kinds of document sources.
+SOURCE_TYPES = ("github_dir", "github_file", "botocore_svc", "web_sitemap")
+WEB_TYPE = "web_sitemap"
+
 # Session and listing defaults.
 MAX_TURNS = 10
 MAX_FIELDS = 50

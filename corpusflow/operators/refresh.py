@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.fixed_values import MAX_AGE_DAYS, MIN_SUCCESS_RATIO
+from corpusflow.functions.fixed_values import MAX_AGE_DAYS, MIN_SUCCESS_RATIO, SOURCE_TYPES, WEB_TYPE
 from corpusflow.functions.text import iso_timestamp, seconds_between
 
-KNOWN_TYPES = ("github_dir", "github_file", "botocore_svc", "web_sitemap")
-WEB = "web_sitemap"
-
 
 def is_stale(last_ingested: Column, now: Column, max_age_days: float = MAX_AGE_DAYS) -> Column:
     """True without a readable time, or from max_age_days on; naive times are UTC. All ISO-8601 text."""
@@ -40,7 +37,7 @@ def detect_changes(
     versions: id, sha, last_ingested (ISO text). Hashes are cut to ten characters.
     """
     known = sources.join(versions.select("id", "sha", "last_ingested"), "id", "left")
-    web = F.col("type") == WEB
+    web = F.col("type") == WEB_TYPE
     stored = F.coalesce("sha", F.lit(""))
     changed = (F.col("latest") != stored) | (web & is_stale(F.col("last_ingested"), F.lit(now)))
     status = F.when(F.lit(not include_web) & web, "skipped_web").when(F.col("latest").isNull(), "network_error")
@@ -49,7 +46,7 @@ def detect_changes(
     else:
         status = (
             status.when(~changed & F.lit(not force), "up_to_date")
-            .when(~F.col("type").isin(*KNOWN_TYPES), "unknown_type")
+            .when(~F.col("type").isin(*SOURCE_TYPES), "unknown_type")
             .when(F.coalesce("written", F.lit(0)) == 0, "fetch_failed")
             .otherwise("fetched")
         )
