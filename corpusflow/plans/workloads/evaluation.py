@@ -202,16 +202,20 @@ def missing(t: Tables) -> DataFrame:
 
 
 @query("registry_calls", """
-    SELECT l_orderkey, l_linenumber, l_partkey, l_linestatus, CASE WHEN l_linestatus = 'F' THEN 'dist' ELSE '' END AS missing
+    SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linestatus = 'O' THEN 'similarity' ELSE 'chunk_text' END AS name,
+           CASE WHEN l_linestatus = 'O' AND l_returnflag = 'R' THEN 'dist' WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 'text'
+                ELSE '' END AS missing
     FROM lineitem
 """)
 def registry_calls(t: Tables) -> DataFrame:
-    """Line items as calls of the registered function `similarity`, checked against its own signature."""
-    distance = F.when(F.col("l_linestatus") == "O", F.col("l_discount").cast("string"))
+    """Line items as calls of two registered functions, checked against their own signatures."""
+    name = F.when(F.col("l_linestatus") == "O", "similarity").otherwise("chunk_text")
+    distance = F.when(F.col("l_returnflag") != "R", F.col("l_discount").cast("string"))
+    words = F.when(F.col("l_returnflag") == "A", "").otherwise(F.col("l_returnflag"))
     calls = t.spread("lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", F.lit("similarity").alias("name"),
-        F.create_map(F.lit("dist"), distance).alias("args"),
+        "l_orderkey", "l_linenumber", "l_partkey", name.alias("name"),
+        F.create_map(F.lit("dist"), distance, F.lit("text"), words).alias("args"),
     )
     return missing_args(calls, signature_rows(t.spark).select("name", "required")).select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", F.array_join("missing", ",").alias("missing")
+        "l_orderkey", "l_linenumber", "l_partkey", "name", F.array_join("missing", ",").alias("missing")
     )
