@@ -110,12 +110,17 @@ def _by_key(table: pa.Table, keys: Sequence[str]) -> tuple[np.ndarray, dict]:
 
 
 def _rows_by_key(batch: pa.RecordBatch, keys: Sequence[str], wanted) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    at: dict[tuple, list[int]] = {}
-    for i, key in enumerate(zip(*[batch.column(c).to_pylist() for c in keys])):
+    """The parts of a batch whose collection key is wanted; a batch of one key is passed on uncopied."""
+    code = np.zeros(batch.num_rows, dtype=np.int64)
+    for name in keys:
+        encoded = batch.column(name).dictionary_encode()
+        n = len(encoded.dictionary)
+        code = code * (n + 1) + encoded.indices.fill_null(n).to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    for where in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+        key = tuple(batch.column(name)[int(where[0])].as_py() for name in keys) if len(where) else None
         if key in wanted:
-            at.setdefault(key, []).append(i)
-    for key, where in at.items():
-        yield key, batch.take(pa.array(where))
+            yield key, batch if len(where) == batch.num_rows else batch.take(pa.array(where))
 
 
 def _result_schema(questions: DataFrame, rows: DataFrame, counting: bool) -> T.StructType:

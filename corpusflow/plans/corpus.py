@@ -9,7 +9,7 @@ from corpusflow.functions.chunking import explode_chunks
 from corpusflow.functions.embedding import embed
 from corpusflow.operators.refresh import is_platform_skipped
 from corpusflow.operators.urls import cap_pages, fetched_pages, filter_urls, page_docs
-from corpusflow.sources.collections import publish, read_collection, stale, write_collection
+from corpusflow.sources.collections import BUCKETS, publish, read_collection, stale, write_collection
 
 
 def web_documents(pages: DataFrame, rules: DataFrame, base: str = "", max_pages: int = 0) -> DataFrame:
@@ -34,7 +34,9 @@ def chunk_rows(docs: DataFrame, platform: str | None = None, dims: int = 64, loa
     )
 
 
-def ingest(spark: SparkSession, docs: DataFrame, platform: str, root: str, force: bool = False, **options) -> dict:
+def ingest(
+    spark: SparkSession, docs: DataFrame, platform: str, root: str, force: bool = False, buckets: int = BUCKETS, **options
+) -> dict:
     """Bring a platform's collection up to date with its documents (path, text), all of them.
 
     An existing collection is left alone unless forced, and a platform without files is never touched.
@@ -44,7 +46,7 @@ def ingest(spark: SparkSession, docs: DataFrame, platform: str, root: str, force
         return {"ingested": 0, "pruned": 0}
     # The documents are the platform's whole corpus, so writing the next version in one go leaves what an
     # upsert of all chunks and a prune of the rest would leave.
-    write_collection(chunk_rows(docs, platform, **options), root)
+    write_collection(chunk_rows(docs, platform, **options), root, buckets=buckets)
     now = read_collection(spark, root)
     pruned = 0 if before is None else stale(before.select("id"), now).count()
     return {"ingested": now.count(), "pruned": pruned}

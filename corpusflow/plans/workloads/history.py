@@ -12,7 +12,8 @@ from corpusflow.operators.history import (
 )
 from corpusflow.operators.windows import latest_per_key, pair_turns, session_window
 from corpusflow.plans.workloads.base import Tables, query
-from corpusflow.sources.turnlog import append_turns
+from corpusflow.session import scratch_path
+from corpusflow.sources.turnlog import append_turns, write_index
 
 _TURNS = """
     turns AS (
@@ -83,7 +84,7 @@ def _phrase(column: str) -> str:
     return f"contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ' ') || ' ', ' of the ')"
 
 
-@query("fts_search", f"""
+_FOUND_SQL = f"""
     WITH {_TURNS}, worded AS (SELECT *, {_WORDS} AS ws FROM turns),
     hits AS (
         SELECT 'terms' AS search, * FROM worded WHERE list_contains(ws, 'the') AND list_contains(ws, 'and')
@@ -92,11 +93,23 @@ def _phrase(column: str) -> str:
     )
     SELECT search, conv_id, turn, query, response FROM (
         SELECT *, row_number() OVER (PARTITION BY search ORDER BY conv_id DESC, turn DESC) AS rn FROM hits) WHERE rn <= 20
-""")
+"""
+_SEARCHES = {"terms": "The and", "prefix": "eau*", "phrase": '"of the"', "blank": "  "}
+
+
+@query("fts_search", _FOUND_SQL)
 def full_text(t: Tables) -> DataFrame:
-    searches = {"terms": "The and", "prefix": "eau*", "phrase": '"of the"', "blank": "  "}
     pairs = turns(t)
-    return search_turns(pairs, build_index(pairs, KEYS), searches, 20, KEYS)
+    return search_turns(pairs, build_index(pairs, KEYS), _SEARCHES, 20, KEYS)
+
+
+@query("stored_index_search", _FOUND_SQL)
+def stored_index(t: Tables) -> DataFrame:
+    """The same searches on an index that was written in token order."""
+    root = scratch_path(t.spark, "index")
+    pairs = turns(t)
+    write_index(build_index(pairs, KEYS), root, KEYS)
+    return search_turns(pairs, t.spark.read.parquet(root), _SEARCHES, 20, KEYS)
 
 
 @query("turn_append", f"""

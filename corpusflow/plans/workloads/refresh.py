@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import iso_seconds
 from corpusflow.operators.refresh import detect_changes, is_due, is_stale, new_versions, refresh_rollup, reingest
+from corpusflow.plans.refresh import refresh
 from corpusflow.plans.workloads.base import Tables, query
 from corpusflow.session import scratch_path
+from corpusflow.sources.collections import read_collection
+from corpusflow.sources.documents import union_sources
 from corpusflow.sources.versions import load_versions, save_versions
 
 NOW = "2024-01-09T12:00:00+00:00"
@@ -167,3 +170,30 @@ def throttle(t: Tables) -> DataFrame:
     return last.select(
         "user_id", "event_type", is_due(_clock(), F.lit("2024-01-30T00:00:00+00:00"), hours).alias("due")
     )
+
+
+@query("refreshed_corpus", f"""
+    WITH {_status_sql()},
+    touched AS (SELECT DISTINCT lang FROM documents WHERE 'doc/' || doc_id IN (SELECT id FROM fresh WHERE status = 'fetched'))
+    SELECT lang AS platform, count(*) AS n_docs, true AS second_run_is_quiet FROM documents WHERE lang IN (SELECT lang FROM touched) GROUP BY 1
+""".replace("touched AS", """fresh AS (
+        SELECT id, CASE WHEN latest_sha IS NULL THEN 'network_error' WHEN type = 'ftp_mirror' THEN 'unknown_type'
+                        WHEN written = 0 THEN 'fetch_failed' ELSE 'fetched' END AS status
+        FROM (SELECT 'doc/' || doc_id AS id, left(latest, 10) AS latest_sha, type, written FROM judged)
+    ),
+    touched AS"""))
+def refreshed_corpus(t: Tables) -> DataFrame:
+    """A first refresh of four language collections, then a second one that finds every fetched source unchanged."""
+    root = scratch_path(t.spark, "refresh")
+    sources = _sources(t).withColumn("platform", F.substring_index("platform", "/", -1))
+    docs = t.documents.select(F.col("lang").alias("platform"), F.concat_ws("/", "source", "doc_id").alias("path"), "text")
+    first = refresh(t.spark, sources, docs, root, NOW, buckets=8)
+    second = detect_changes(sources, load_versions(t.spark, f"{root}/versions"), NOW).select("id", F.col("status").alias("again"))
+    quiet = (
+        first.where("status = 'fetched'").join(second, "id").groupBy("platform")
+        .agg(F.bool_and(F.col("again") == "up_to_date").alias("second_run_is_quiet"))
+    )
+    # the language collections that were written, at most four
+    written = [read_collection(t.spark, f"{root}/{r.platform}") for r in quiet.select("platform").collect()]
+    n_docs = union_sources(*written).groupBy("platform").agg(F.count_distinct("source").alias("n_docs"))
+    return n_docs.join(quiet, "platform")

@@ -42,6 +42,14 @@ def append_to_log(spark: SparkSession, results: DataFrame, order: Sequence[str],
     append_turns(results, order, last).write.mode("append").parquet(path)
 
 
+def write_index(index: DataFrame, path: str, keys: Sequence[str] = ("id",)) -> None:
+    """Store an inverted index in token order, so that the tokens of a search prune files and row groups.
+
+    The turn keys take part in the range split: the postings of a common token fill many files.
+    """
+    index.repartitionByRange("token", *keys).sortWithinPartitions("token").write.parquet(path)
+
+
 def write_daily_markdown(turns: DataFrame, path: str) -> None:
     """Day folders of markdown text in id order; the parts of a crowded day follow each other by part number."""
     ordered = daily_entries(turns).repartitionByRange("date", "id").sortWithinPartitions("date", "id")

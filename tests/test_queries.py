@@ -74,3 +74,8 @@ def test_import_needs_no_session():
 
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"],
                    cwd=Path(__file__).parent.parent, check=True)
+
+
+def test_search_terms_reach_the_stored_index(spark, folder):
+    text = QUERIES["stored_index_search"](spark, folder)._jdf.queryExecution().executedPlan().treeString()
+    assert "StringStartsWith(token,eau)" in text and "EqualTo(token,the)" in text
