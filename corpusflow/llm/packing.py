@@ -21,6 +21,7 @@ import re
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,51 +33,100 @@ from .common import query, table
 
 _CLOSE = re.compile(r"\s ")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
-CACHED = 300_000  # pieces
+CACHED = 600_000  # pieces
+_JOINED = 50  # pieces encoded as one text
 
 
-def _pieces(text: str) -> list[str]:
-    if _CLOSE.search(text):
-        return _BEFORE_BLANK.split(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
+class Encoder:
+    """Token ids of texts, and how a cut behind each token ranks: 1 sentence end, 2 clause end, 3 elsewhere.
 
+    A piece is what follows a blank up to the next; new pieces are encoded many at a time, joined by their blanks.
+    """
 
-class _Encoder:
-    """Token ids of texts, and how a cut behind each token ranks: 1 sentence end, 2 clause end, 3 elsewhere."""
-
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, spans: bool = False) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.spans = Tokenizer.from_file(path), spans
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.rank = np.full(max(vocabulary.values()) + 1, 3, np.int8)
+        self.blank = np.zeros(len(self.rank), bool)
         for token, i in vocabulary.items():
             if token[-1:] in ",;:)":
                 self.rank[i] = 2
-            if token[-1:] in ".!?" or "Ċ" in token:  # the sign that stands for a line end
+            if token[-1:] in ".!?" or "\u010a" in token:  # the sign that stands for a line end
                 self.rank[i] = 1
+            self.blank[i] = "\u0120" in token  # the sign that stands for a blank
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.flat, self.ends = array("I"), array("q", [0])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [_pieces(x) if x else [] for x in texts]
+        self.ids, self.ends = array("I"), array("q", [0])
+        self.first, self.stop = array("i"), array("i")  # character spans from the piece's start
+
+    def _add(self, key: str, ids, offsets) -> None:
+        self.at[key] = len(self.at)
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        if self.spans:
+            for x, y in offsets:
+                self.first.append(x)
+                self.stop.append(y)
+
+    def _encode(self, texts: list[str]) -> list:
+        encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
+        return encode(texts, add_special_tokens=False)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Keys are pieces without their blank, or whole pieces marked by a leading blank."""
+        plain = [x for x in fresh if x[0] != " "]
+        chunks = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
+        single = [(x, x[1:]) for x in fresh if x[0] == " "]
+        for a in range(0, len(chunks), 200):
+            for chunk, found in zip(chunks[a : a + 200], self._encode([" " + " ".join(x) for x in chunks[a : a + 200]])):
+                ids = found.ids
+                starts = np.flatnonzero(self.blank[ids]).tolist()
+                if len(starts) != len(chunk):
+                    single += [(x, " " + x) for x in chunk]
+                    continue
+                base, known = len(self.ids), len(self.at)
+                self.at.update(zip(chunk, range(known, known + len(chunk))))
+                self.ids.extend(ids)
+                self.ends.extend([base + i for i in starts[1:]])
+                self.ends.append(len(self.ids))
+                if self.spans:
+                    size = np.diff([*starts, len(ids)])
+                    shift = np.repeat(np.cumsum([0] + [len(x) + 1 for x in chunk[:-1]]), size)[:, None]
+                    moved = np.array(found.offsets, np.int32) - shift.astype(np.int32)
+                    self.first.frombytes(moved[:, 0].tobytes())
+                    self.stop.frombytes(moved[:, 1].tobytes())
+        for a in range(0, len(single), 2000):
+            some = single[a : a + 2000]
+            for (key, _), found in zip(some, self._encode([piece for _, piece in some])):
+                self._add(key, found.ids, found.offsets if self.spans else ())
+
+    @staticmethod
+    def _keys(text: str) -> list[str]:
+        if _CLOSE.search(text) or text[-1] == " ":
+            return [" " + x for x in _BEFORE_BLANK.split(text) if x]
+        first, *rest = text.split(" ")
+        return [" " + first, *rest] if first else rest
+
+    def pieces(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
+        """Keys per text, and the entries of all keys in order."""
+        cut = [self._keys(x) if x else [] for x in texts]
         if len(self.at) > CACHED:
             self.clear()
-        fresh = list(dict.fromkeys(x for pieces in cut for x in pieces if x not in self.at))
-        for a in range(0, len(fresh), 20_000):
-            for piece, found in zip(fresh[a : a + 20_000], self.tokenizer.encode_batch(fresh[a : a + 20_000], add_special_tokens=False)):
-                self.at[piece] = len(self.at)
-                self.flat.extend(found.ids)
-                self.ends.append(len(self.flat))
-        flat, ends = np.array(self.flat, np.uint32), np.array(self.ends, np.int64)
-        which = np.fromiter((self.at[x] for pieces in cut for x in pieces), np.int64)
+        fresh = set().union(*cut).difference(self.at)
+        if fresh:
+            self._learn(list(fresh))
+        return cut, np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut, which = self.pieces(texts)
+        flat, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
         size = ends[which + 1] - ends[which]
         out = np.cumsum(size)
         ids = flat[np.repeat(ends[which] - (out - size), size) + np.arange(size.sum())]
@@ -139,7 +189,7 @@ def pack(
     doc_tokens, sequence_id and offset in the sequence. ``penalties``: cuts at document, sentence and clause ends and
     elsewhere, in tokens of padding."""
 
-    def run(ids: list, parts: list[np.ndarray], encoder: _Encoder, sequence: int) -> tuple[pd.DataFrame, int]:
+    def run(ids: list, parts: list[np.ndarray], encoder: Encoder, sequence: int) -> tuple[pd.DataFrame, int]:
         sizes = np.array([len(x) for x in parts])
         ends = np.cumsum(sizes)
         stream = np.concatenate(parts)
@@ -158,14 +208,14 @@ def pack(
         return rows, sequence + len(chosen) - 1
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _Encoder(tokenizer)
+        encoder = Encoder(tokenizer)
         sequence = TaskContext.get().partitionId() << 33
         ids: list = []
         parts: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for a in range(0, len(batch), 200):
-                some = batch.iloc[a : a + 200]
+            for a in range(0, len(batch), 1000):
+                some = batch.iloc[a : a + 1000]
                 for i, tokens in zip(some[doc_id], encoder.encode(some["text"].tolist())):
                     ids.append(None if pd.isna(i) else i)
                     parts.append(np.append(tokens, np.uint32(end_id)))
