@@ -8,8 +8,8 @@ distance of a power of two, where no padding is due, are looked up beside it. No
 run, and a repeated task gives the same sequences.
 
 Texts are cut before a blank that follows a visible character; the tokenizer's own pattern always starts a token
-there, so pieces encode as the whole text does, and each different piece is encoded once per task (in a cache of
-bounded size).
+there, so pieces encode as the whole text does, and each different piece is encoded once per worker process (in a
+cache of bounded size).
 
 Defined results: a null or empty text is the end id alone. Repeated documents are packed as often as they occur. An
 empty table gives no pieces. Of the input's columns the pieces carry the id alone.
@@ -33,10 +33,22 @@ from .common import query, table
 
 _CLOSE = re.compile(r"\s ")
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
-CACHED = 600_000  # pieces
+CACHED = 800_000  # pieces
 _JOINED = 50  # pieces encoded as one text
 
 
+class _Places(dict):
+    """Numbers keys in the order in which they are first asked for, and lists those that are new."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        place = self[key] = len(self)
+        self.fresh.append(key)
+        return place
+
+
 class Encoder:
     """Token ids of texts, and how a cut behind each token ranks: 1 sentence end, 2 clause end, 3 elsewhere.
 
@@ -61,51 +73,59 @@ class Encoder:
             self.blank[i] = "\u0120" in token  # the sign that stands for a blank
         self.clear()
 
+    @classmethod
+    def held(cls, path: str, spans: bool = False) -> Encoder:
+        """The encoder of this worker process, so that the tasks it runs share what it has learned."""
+        import tokenizers
+
+        kept = tokenizers.__dict__.setdefault("_encoders_of_this_worker", {})
+        if (path, spans) not in kept:
+            kept[path, spans] = cls(path, spans)
+        return kept[path, spans]
+
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
+        self.at = _Places()
+        self.ids = array("I")
+        self.start, self.size = array("q"), array("q")  # of each place's ids
         self.first, self.stop = array("i"), array("i")  # character spans from the piece's start
 
-    def _add(self, key: str, ids, offsets) -> None:
-        self.at[key] = len(self.at)
-        self.ids.extend(ids)
-        self.ends.append(len(self.ids))
-        if self.spans:
-            for x, y in offsets:
-                self.first.append(x)
-                self.stop.append(y)
-
     def _encode(self, texts: list[str]) -> list:
         encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
         return encode(texts, add_special_tokens=False)
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Keys are pieces without their blank, or whole pieces marked by a leading blank."""
-        plain = [x for x in fresh if x[0] != " "]
+    def _learn(self) -> None:
+        """Encode the new keys: pieces without their blank, or whole pieces marked by a leading blank."""
+        fresh, self.at.fresh = self.at.fresh, []
+        start, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        plain = [i for i, x in enumerate(fresh) if x[:1] != " "]
+        single = [(i, x[1:]) for i, x in enumerate(fresh) if x[:1] == " "]
         chunks = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        single = [(x, x[1:]) for x in fresh if x[0] == " "]
         for a in range(0, len(chunks), 200):
-            for chunk, found in zip(chunks[a : a + 200], self._encode([" " + " ".join(x) for x in chunks[a : a + 200]])):
-                ids = found.ids
-                starts = np.flatnonzero(self.blank[ids]).tolist()
-                if len(starts) != len(chunk):
-                    single += [(x, " " + x) for x in chunk]
+            some = chunks[a : a + 200]
+            for chunk, found in zip(some, self._encode([" " + " ".join([fresh[i] for i in x]) for x in some])):
+                ids = np.array(found.ids, np.uint32)
+                begin = np.flatnonzero(self.blank[ids])
+                if len(begin) != len(chunk):
+                    single += [(i, " " + fresh[i]) for i in chunk]
                     continue
-                base, known = len(self.ids), len(self.at)
-                self.at.update(zip(chunk, range(known, known + len(chunk))))
-                self.ids.extend(ids)
-                self.ends.extend([base + i for i in starts[1:]])
-                self.ends.append(len(self.ids))
+                n = np.diff(begin, append=len(ids))
+                start[chunk], size[chunk] = begin + len(self.ids), n
+                self.ids.frombytes(ids.tobytes())
                 if self.spans:
-                    size = np.diff([*starts, len(ids)])
-                    shift = np.repeat(np.cumsum([0] + [len(x) + 1 for x in chunk[:-1]]), size)[:, None]
+                    shift = np.repeat(np.cumsum([0] + [len(fresh[i]) + 1 for i in chunk[:-1]]), n)[:, None]
                     moved = np.array(found.offsets, np.int32) - shift.astype(np.int32)
                     self.first.frombytes(moved[:, 0].tobytes())
                     self.stop.frombytes(moved[:, 1].tobytes())
         for a in range(0, len(single), 2000):
             some = single[a : a + 2000]
-            for (key, _), found in zip(some, self._encode([piece for _, piece in some])):
-                self._add(key, found.ids, found.offsets if self.spans else ())
+            for (i, _), found in zip(some, self._encode([piece for _, piece in some])):
+                start[i], size[i] = len(self.ids), len(found.ids)
+                self.ids.extend(found.ids)
+                if self.spans:
+                    self.first.extend(x for x, _ in found.offsets)
+                    self.stop.extend(y for _, y in found.offsets)
+        self.start.frombytes(start.tobytes())
+        self.size.frombytes(size.tobytes())
 
     @staticmethod
     def _keys(text: str) -> list[str]:
@@ -115,21 +135,20 @@ class Encoder:
         return [" " + first, *rest] if first else rest
 
     def pieces(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
-        """Keys per text, and the entries of all keys in order."""
+        """Keys per text, and the places of all keys in order."""
         cut = [self._keys(x) if x else [] for x in texts]
         if len(self.at) > CACHED:
             self.clear()
-        fresh = set().union(*cut).difference(self.at)
-        if fresh:
-            self._learn(list(fresh))
-        return cut, np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        if self.at.fresh:
+            self._learn()
+        return cut, which
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut, which = self.pieces(texts)
-        flat, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
-        size = ends[which + 1] - ends[which]
+        start, size = np.array(self.start)[which], np.array(self.size)[which]
         out = np.cumsum(size)
-        ids = flat[np.repeat(ends[which] - (out - size), size) + np.arange(size.sum())]
+        ids = np.array(self.ids)[np.repeat(start - (out - size), size) + np.arange(size.sum())]
         per_text = np.concatenate([[0], np.cumsum([len(x) for x in cut])])
         bounds = np.concatenate([[0], out])[per_text]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
@@ -208,14 +227,14 @@ def pack(
         return rows, sequence + len(chosen) - 1
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.held(tokenizer)
         sequence = TaskContext.get().partitionId() << 33
         ids: list = []
         parts: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for a in range(0, len(batch), 1000):
-                some = batch.iloc[a : a + 1000]
+            for a in range(0, len(batch), 2000):
+                some = batch.iloc[a : a + 2000]
                 for i, tokens in zip(some[doc_id], encoder.encode(some["text"].tolist())):
                     ids.append(None if pd.isna(i) else i)
                     parts.append(np.append(tokens, np.uint32(end_id)))

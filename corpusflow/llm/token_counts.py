@@ -26,15 +26,15 @@ from .packing import Encoder
 def _token_spans(encoder: Encoder, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """First and end characters of all tokens of every text."""
     cut, which = encoder.pieces(texts)
-    first, stop, ends = np.array(encoder.first), np.array(encoder.stop), np.array(encoder.ends)
+    first, stop, start, count = (np.array(x) for x in (encoder.first, encoder.stop, encoder.start, encoder.size))
     out, done = [], 0
     for keys in cut:
         own = which[done : done + len(keys)]
         done += len(keys)
         # a marked key is its piece behind the mark; any other is its piece without the blank
-        length = np.fromiter((len(x) - 1 if x[0] == " " else len(x) + 1 for x in keys), np.int64, len(keys))
-        size = ends[own + 1] - ends[own]
-        index = np.repeat(ends[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        length = np.fromiter((len(x) - 1 if x[:1] == " " else len(x) + 1 for x in keys), np.int64, len(keys))
+        size = count[own]
+        index = np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         shift = np.repeat(np.cumsum(length) - length, size)
         out.append((first[index] + shift, stop[index] + shift))
     return out
@@ -62,7 +62,7 @@ def count_tokens(docs: DataFrame, sections: Column, tokenizer: str, text: str =
 
     @F.pandas_udf(schema)
     def counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        encoder = Encoder(tokenizer, spans=True)
+        encoder = Encoder.held(tokenizer, spans=True)
         for texts, parts in batches:
             rows = []
             for i in range(0, len(texts), 1000):
