@@ -36,6 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A narrow side of a join, broadcast if it has few rows; larger ones are left to a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def in_fold(doc_id, folds: int):
     """True where crc32 of the id as text leaves no remainder: the held-out rows. A null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

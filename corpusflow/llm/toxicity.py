@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, in_fold, query, stored, table
+from .common import fold_of, in_fold, query, small, stored, table
 
 FRAME = "<window of text> "
 STEPS = 8  # differences of so many bytes or more share a bin
@@ -90,15 +90,25 @@ def _features(df: DataFrame, text: str, toxic: bytes, ordinary: bytes, level: in
     return features(df[text])
 
 
-def _word_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
-    """Before how many different words each word stands in toxic and in ordinary rows.
+def _words(labelled: DataFrame, text: str, label: str) -> DataFrame:
+    return labelled.select(F.col(label).alias("toxic"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)).alias("w"))
 
-    Different neighbours count rather than rows, so that a text copied a thousand times is no evidence.
+
+def _row_counts(labelled: DataFrame, text: str, label: str) -> DataFrame:
+    """In how many toxic and how many ordinary rows each word occurs."""
+    each = _words(labelled, text, label).select("toxic", F.explode(F.array_distinct("w")).alias("word")).where(F.length("word") <= 48)
+    return each.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+
+
+def _neighbour_counts(labelled: DataFrame, text: str, label: str, wanted: DataFrame) -> DataFrame:
+    """Before how many different words each wanted word stands in toxic and in ordinary rows.
+
+    A text copied a thousand times has many rows and few neighbours, so it is no evidence. ``wanted`` is bounded.
     """
-    words = labelled.select(F.col(label).alias("toxic"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)).alias("w"))
     pairs = F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("next"))
+    each = _words(labelled, text, label).select("toxic", F.explode(pairs).alias("p")).select("toxic", "p.word", "p.next")
     return (
-        words.select("toxic", F.explode(pairs).alias("p")).select("toxic", "p.word", "p.next").where(F.length("word") <= 48)
+        each.join(F.broadcast(wanted), "word", "left_semi")
         .groupBy("word", "next").agg(F.max("toxic").alias("bad"), F.max(1 - F.col("toxic")).alias("good"))
         .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
 
@@ -139,14 +149,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 60)
 def fit(
     labelled: DataFrame, text: str = "text", label: str = "toxic", part: str | None = None, *, toxic_words: int = 20_000,
     ordinary_words: int = 50_000, least_evidence: float = 10.0, least_ratio: float = 4.0, toxic_bytes: int = 16_384,
-    ordinary_bytes: int = 110_000, fit_rows: int = 40_000, level: int = 19,
+    ordinary_bytes: int = 110_000, fit_rows: int = 20_000, level: int = 19,
 ) -> Model | None:
     """Train on rows with a text and a label 0 or 1; None when either kind is missing.
 
     Rows where the boolean column ``part`` is true calibrate, the others fill the dictionaries; without it a hash of
     the text decides. A word is a toxic sample when it is at least ``least_ratio`` times as frequent in toxic rows as in
     ordinary ones, and its count there times the logarithm of that ratio reaches ``least_evidence``. Of more words than
-    the bounds allow, the most frequent are taken (ties by the word); of more than ``fit_rows`` rows, those with the smallest hash of the text.
+    the bounds allow, the most frequent are taken (ties by the word); some ``fit_rows`` rows, chosen by a hash of the text,
+    calibrate.
     """
     rows = labelled.where(F.col(label).isin(0, 1)).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("toxic"),
@@ -156,21 +167,25 @@ def fit(
     bad, good = n.get((False, 1), 0), n.get((False, 0), 0)
     if not bad or not good:
         return None
-    words = _word_counts(rows.where("not held"), "text", "toxic").where("bad + good > 1")
+    learn = rows.where("not held")
     ratio = (F.col("bad") / bad) / ((F.col("good") + 0.5) / good)
-    picked = (ratio >= least_ratio) & (F.col("bad") * F.log(ratio) >= least_evidence)
-    words = words.select("word", "bad", "good", ((F.col("bad") > 0) & picked).alias("picked"))
-    words = stored(words.where("picked or good > 2"), "toxicity-words")
-    rude = words.where("picked").orderBy(F.desc("bad"), "word").limit(toxic_words).collect()
+    words = stored(
+        _row_counts(learn, "text", "toxic").select("word", "bad", "good", ((F.col("bad") > 2) & (ratio >= least_ratio)).alias("picked"))
+        .where("picked or good > 2"), "toxicity-words")
+    wanted = words.where("picked").orderBy(F.desc("bad"), "word").limit(toxic_words).select("word")
+    told = (F.col("bad") > 0) & (ratio >= least_ratio) & (F.col("bad") * F.log(ratio) >= least_evidence)
+    rude = _neighbour_counts(learn, "text", "toxic", wanted).where(told).orderBy(F.desc("bad"), "word").collect()
     plain = words.where("not picked").orderBy(F.desc("good"), "word").limit(ordinary_words).collect()
     toxic = _dictionary([(r["word"], min(r["bad"], 200)) for r in rude], toxic_bytes, True) if rude else None
     ordinary = _dictionary([(r["word"], min(r["good"], 10)) for r in plain], ordinary_bytes, False) if plain else None
     if toxic is None or ordinary is None:
         return Model(b"", b"", (math.log(bad / good),), level)
-    kept = rows.where("held") if n.get((True, 1)) and n.get((True, 0)) else rows
-    seen = kept.orderBy(F.xxhash64("text"), "text").limit(fit_rows)
-    seen = seen.repartition(labelled.sparkSession.sparkContext.defaultParallelism)
-    seen = seen.select("toxic", _features(seen, "text", toxic, ordinary, level).alias("f")).collect()
+    held = bool(n.get((True, 1)) and n.get((True, 0)))
+    share = min(1.0, fit_rows / sum(c for (part, _), c in n.items() if part or not held))
+    kept = (rows.where("held") if held else rows).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    seen = kept.select("toxic", _features(kept, "text", toxic, ordinary, level).alias("f")).collect()
+    if len({r["toxic"] for r in seen}) < 2:
+        return Model(b"", b"", (math.log(bad / good),), level)
     weights = _logistic(np.array([r["f"] for r in seen]), np.array([r["toxic"] for r in seen], float))
     return Model(toxic, ordinary, tuple(float(w) for w in weights), level)
 
@@ -205,7 +220,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model | None:
     An id with several labels counts as toxic when any of them says so.
     """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(~in_fold(F.col("doc_id"), 5)).join(marks, "doc_id")
+    rows = docs.select("doc_id", "text").where(~in_fold(F.col("doc_id"), 5)).join(small(marks), "doc_id")
     return fit(rows.withColumn("held", fold_of(F.col("doc_id"), 5) == 4), part="held")
 
 
