@@ -57,11 +57,14 @@ def iso_seconds(ts: Column) -> Column:
 
 def kv_to_map(pairs: Column) -> Column:
     """Map of an array of (key, value) structs; the last value of a repeated key wins."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]),
-    )
+    placed = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value")))
+
+    def last_of_each(s):
+        kept = F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["key"] != e["key"], F.lit(True)))
+        return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
+
+    # bound by a lambda, the sorted entries are evaluated once
+    return F.get(F.transform(F.array(F.array_sort(placed)), last_of_each), F.lit(0))
 
 
 def decode_args(arguments: Column) -> Column:

@@ -23,7 +23,9 @@ def l2_normalize(v: Column | str) -> Column:
     """Unit vector; a zero vector stays as it is."""
     vector = as_double(v)
     length = norm(v)
-    return F.when(length == 0, vector).otherwise(F.transform(vector, lambda x: x / length))
+    # the length is an argument, evaluated once, and not part of the lambda
+    lengths = F.array_repeat(F.nullif(length, F.lit(0.0)), F.size(vector))
+    return F.zip_with(vector, lengths, lambda x, n: F.when(n.isNull(), x).otherwise(x / n))
 
 
 def distance(a: Column | str, b: Column | str, space: str) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,35 +107,49 @@ def summarize_eval_rollup(scores: DataFrame) -> DataFrame:
     )
 
 
-def sequence_ok(cases: DataFrame, calls: DataFrame, longest: int) -> DataFrame:
+def sequence_ok(cases: DataFrame, calls: DataFrame) -> DataFrame:
     """Whether the expected tools occur in this order among a case's calls, and there are enough calls.
 
-    cases: id, expected_tools_sequence array (at most `longest` entries), min_tool_calls.
-    calls: id, pos, name - one row per call. Each expected tool takes its earliest call after the one before,
-    which a grouped minimum finds; calls of one case are never collected.
+    cases: id, expected_tools_sequence array, min_tool_calls. calls: id, pos, name - one row per call. Calls that their
+    case names are sorted by case and position, and one pass per partition advances through each sequence, taking
+    the earliest call that fits; it holds one case's place at a time, however long sequences and logs are.
     """
-    state = cases.select("id", F.col("expected_tools_sequence").alias("_want"), F.lit(-1).cast("long").alias("_at"))
-    for step in range(longest):
-        wanted = F.get("_want", F.lit(step))
-        hits = (
-            state.where(F.col("_at").isNotNull() & wanted.isNotNull())
-            .select("id", "_at", wanted.alias("name"))
-            .join(calls, ["id", "name"])
-            .where(F.col("pos") > F.col("_at"))
-            .groupBy("id").agg(F.min("pos").alias("_hit"))
-        )
-        state = state.join(hits, "id", "left").select(
-            "id", "_want", F.when(wanted.isNull(), F.col("_at")).otherwise(F.col("_hit")).cast("long").alias("_at")
-        )
+    wanted = cases.select("id", F.col("expected_tools_sequence").alias("_want"))
+    named = calls.join(wanted, "id").where(F.array_contains("_want", F.col("name"))).select("id", "pos", "name", "_want")
+
+    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, reached = None, 0
+        for batch in batches:
+            ids, out = batch.column("id").to_pylist(), []
+            for case_id, name, want in zip(ids, batch.column("name").to_pylist(), batch.column("_want").to_pylist()):
+                if case_id != case:
+                    if case is not None:
+                        out.append((case, reached))
+                    case, reached = case_id, 0
+                reached += reached < len(want) and want[reached] == name
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], batch.schema.field("id").type), pa.array([n for _, n in out], pa.int32())], ["id", "_reached"])
+            kind = batch.schema.field("id").type
+        if case is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([case], kind), pa.array([reached], pa.int32())], ["id", "_reached"])
+
+    kind = cases.schema["id"].dataType.simpleString()
+    walked = named.repartition("id").sortWithinPartitions("id", "pos").mapInArrow(advance, f"id {kind}, _reached int")
     totals = calls.groupBy("id").agg(F.count("*").alias("_calls"))
+    complete = F.coalesce("_reached", F.lit(0)) == F.size("expected_tools_sequence")
     return (
-        cases.join(state.select("id", "_at"), "id").join(totals, "id", "left")
-        .select("id", (F.col("_at").isNotNull() & (F.coalesce("_calls", F.lit(0)) >= F.col("min_tool_calls"))).alias("seq_ok"))
+        cases.join(walked, "id", "left").join(totals, "id", "left")
+        .select("id", (complete & (F.coalesce("_calls", F.lit(0)) >= F.col("min_tool_calls"))).alias("seq_ok"))
     )
 
 
 def missing_args(calls: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Required argument names that a call leaves null or empty, joined on the tool name: adds `missing`."""
-    return calls.join(signatures, "name").withColumn(
-        "missing", F.filter("required", lambda n: first_present(F.element_at("args", n)) == "")
-    ).drop("required")
+    """Required argument names that a call leaves null or empty, by tool name: adds `missing` and `known`.
+
+    A call of a tool without a signature stays: `known` is false and `missing` null.
+    """
+    known = signatures.withColumn("known", F.lit(True))
+    return calls.join(known, "name", "left").withColumns({
+        "missing": F.filter("required", lambda n: first_present(F.element_at("args", n)) == ""),
+        "known": F.coalesce("known", F.lit(False)),
+    }).drop("required")

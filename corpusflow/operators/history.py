@@ -138,25 +138,27 @@ def daily_entries(turns: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StringType())
-def tool_appendix(tools_json: pd.Series) -> pd.Series:
-    """Markdown section of a JSON tool-call list, '' when there is none. Indented JSON has no built-in."""
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("name", "args", "result")])))
+def _logged_calls(tools_json: pd.Series) -> pd.Series:
+    """The objects of a JSON list with their arguments on one line and their result indented; anything else is left out."""
 
-    def section(text: str | None) -> str:
+    def decoded(text: str | None) -> list[dict]:
         try:
-            calls = json.loads(text or "[]")
+            found = json.loads(text) if text else None
         except ValueError:
-            calls = []
-        if not isinstance(calls, list) or not calls:
-            return ""
-        lines = ["", "## Tool calls", ""]
-        for number, call in enumerate(calls, 1):
-            shown = json.dumps(call.get("result", {}), indent=2)
-            lines += [f"### {number}. `{call.get('name', '?')}`", "", f"**Args:** `{json.dumps(call.get('args', {}))}`", ""]
-            lines += ["**Result:**", "", "```json", shown, "```", ""]
-        return "\n".join(lines)
-
-    return tools_json.map(section)
+            found = None
+        objects = [x for x in found if isinstance(x, dict)] if isinstance(found, list) else []
+        return [{"name": str(x.get("name", "?")), "args": json.dumps(x.get("args", {})), "result": json.dumps(x.get("result", {}), indent=2)} for x in objects]
+
+    return tools_json.map(decoded)
+
+
+def tool_appendix(tools_json: Column | str) -> Column:
+    """Markdown section of a JSON tool-call list, '' when there is none."""
+    block = lambda call, i: F.format_string(
+        "### %d. `%s`\n\n**Args:** `%s`\n\n**Result:**\n\n```json\n%s\n```\n", i + 1, call["name"], call["args"], call["result"])
+    sections = F.transform(_logged_calls(tools_json), block)
+    return F.when(F.size(sections) > 0, F.concat(F.lit("\n## Tool calls\n\n"), F.array_join(sections, "\n"))).otherwise("")
 
 
 def _front_matter() -> Column:

@@ -221,8 +221,9 @@ def _grid(questions, rows, keys, schema, k, floor, space, skip_self, counting, c
 def _winners(questions, rows, keys, *, k, floor, space, skip_self, counting, broadcast_bytes,
              cell_rows=CELL_ROWS, cell_questions=CELL_QUESTIONS):
     keys = list(keys)
-    questions = questions.select("qid", *keys, "qvec").where(F.col("qvec").isNotNull())
-    rows = rows.select("id", *keys, "vec").where(F.col("vec").isNotNull())
+    # a null key finds nothing, whichever way the sides meet
+    questions = questions.select("qid", *keys, "qvec").dropna(subset=["qvec", *keys])
+    rows = rows.select("id", *keys, "vec").dropna(subset=["vec", *keys])
     schema = _result_schema(questions, rows, counting)
     args = (k, floor, space, skip_self, counting)
     first = questions.select(F.size("qvec")).head() if broadcast_bytes else None

@@ -52,27 +52,19 @@ def cap_pages(urls: DataFrame, max_pages: int = 0) -> DataFrame:
     return cap_per_group(urls.select("source", "url").distinct(), ["source"], [F.col("url")], max_pages)
 
 
-def url_fingerprint(urls: DataFrame, whole_part: int = 64, width: int = 3) -> DataFrame:
-    """Marker of each source's URL set: (source, sha, n).
+def url_fingerprint(urls: DataFrame) -> DataFrame:
+    """Marker of each source's URL set: (source, sha, n), by one rule for sets of any size.
 
-    It is the SHA-256 of the sorted, newline-joined distinct URLs. The set is gathered in 16^width parts by URL
-    hash; once a part holds more than `whole_part` URLs (sets beyond some 150,000 by default) the marker is the
-    hash of the part digests instead, so no task ever holds a large set. Either rule depends on the set alone.
+    The SHA-256 of every distinct URL is cut into four slices of 60 bits. The marker is the hash of the number of
+    URLs and of the four sums of slices: sums combine before the shuffle, and no task holds a set.
     """
-    digest = lambda sorted_texts: F.sha2(F.array_join(sorted_texts, "\n"), 256)
-    parts = (
-        urls.groupBy("source", F.left(F.sha2("url", 256), F.lit(width)).alias("_part"))
-        .agg(F.sort_array(F.collect_set("url")).alias("_urls"))
-        .select("source", "_part", "_urls", F.size("_urls").alias("_n"), digest(F.col("_urls")).alias("_sha"))
-    )
-    sets = parts.groupBy("source").agg(
-        F.sum("_n").alias("n"),
-        (F.max("_n") <= whole_part).alias("_whole"),
-        F.flatten(F.collect_list(F.when(F.col("_n") <= whole_part, F.col("_urls")))).alias("_all"),
-        F.array_sort(F.collect_list(F.struct("_part", "_sha"))).alias("_parts"),
-    )
-    by_part = digest(F.transform("_parts", lambda p: p["_sha"]))
-    return sets.select("source", F.when(F.col("_whole"), digest(F.sort_array("_all"))).otherwise(by_part).alias("sha"), "n")
+    slices = [
+        F.sum(F.conv(F.substring("_sha", at, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_s{at}") for at in (1, 16, 31, 46)]
+    sums = (
+        urls.select("source", "url").distinct().withColumn("_sha", F.sha2("url", 256))
+        .groupBy("source").agg(F.count("*").alias("n"), *slices))
+    whole = F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"_s{at}") for at in (1, 16, 31, 46)])
+    return sums.select("source", F.sha2(whole, 256).alias("sha"), "n")
 
 
 def fetched_pages(pages: DataFrame, html: str = "html") -> DataFrame:

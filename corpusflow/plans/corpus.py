@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.chunking import explode_chunks
 from corpusflow.functions.embedding import embed
-from corpusflow.operators.refresh import is_platform_skipped
+from corpusflow.functions.fixed_values import MIN_SUCCESS_RATIO
+from corpusflow.operators.refresh import is_platform_skipped, publish_gate
 from corpusflow.operators.urls import cap_pages, fetched_pages, filter_urls, page_docs
-from corpusflow.sources.collections import BUCKETS, publish, read_collection, stale, write_collection
+from corpusflow.sources.collections import BUCKETS, read_collection, stale, write_collection
+from corpusflow.session import cut_lineage
 
 
 def web_documents(pages: DataFrame, rules: DataFrame, base: str = "", max_pages: int = 0) -> DataFrame:
@@ -18,10 +20,29 @@ def web_documents(pages: DataFrame, rules: DataFrame, base: str = "", max_pages:
     return page_docs(fetched_pages(pages.join(urls, ["source", "url"], "left_semi")), base)
 
 
-def publish_pages(pages: DataFrame, rules: DataFrame, root: str, base: str = "", **gate) -> dict:
-    """Extract, filter and publish the pages of a source, unless too many of them failed."""
-    attempted = cap_pages(filter_urls(pages.select("source", "url"), rules)).count()
-    return publish(web_documents(pages, rules, base), root, attempted, keys=["url"], **gate)
+def publish_pages(
+    pages: DataFrame, rules: DataFrame, root: str, base: str = "", max_pages: int = 0, min_ratio: float = MIN_SUCCESS_RATIO,
+) -> dict:
+    """Extract, filter and publish pages; each source is judged by its own share of good pages.
+
+    Attempted are a source's distinct allowed URLs (at most `max_pages`), written are those of them that became
+    documents, one per URL. Sources that reach `min_ratio` are switched; the rest keep their live rows.
+    """
+    urls = cap_pages(filter_urls(pages.select("source", "url"), rules), max_pages).withColumn("attempted", F.lit(True))
+    docs = cut_lineage(web_documents(pages, rules, base, max_pages).dropDuplicates(["source", "url"]))
+    outcome = urls.join(docs.select("source", "url", F.lit(True).alias("kept")), ["source", "url"], "left")
+    gates = cut_lineage(publish_gate(outcome, F.coalesce("kept", F.lit(False)), min_ratio).where("attempted > 0"))
+    passed = gates.where("publish and written > 0").select("source")
+    counts = gates.agg(F.sum("attempted"), F.sum("written"), F.count_if((F.col("written") > 0) & F.col("publish"))).first()
+    attempted, written, switched = (x or 0 for x in counts)
+    if switched:
+        fresh = docs.join(passed, "source", "left_semi")
+        live = read_collection(pages.sparkSession, root)
+        if live is not None:
+            live = live.select(*fresh.columns)
+            fresh = cut_lineage(fresh.unionByName(live.join(passed, "source", "left_anti")))
+        write_collection(fresh, root, keys=["url"])
+    return {"written": written, "attempted": attempted, "ratio": written / attempted if attempted else 0.0, "published": switched > 0, "switched": switched}
 
 
 def chunk_rows(docs: DataFrame, platform: str | None = None, dims: int = 64, load_encoder=None) -> DataFrame:

@@ -176,7 +176,7 @@ def sequences(t: Tables) -> DataFrame:
         .otherwise(wanted("A_F", "N_F", "R_F")).alias("expected_tools_sequence"),
         F.when(status == "F", 2).when(status == "O", 1).otherwise(3).alias("min_tool_calls"),
     )
-    return sequence_ok(cases, _calls(t).select("id", "pos", "name"), longest=3)
+    return sequence_ok(cases, _calls(t).select("id", "pos", "name"))
 
 
 @query("missing_args", """

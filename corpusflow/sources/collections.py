@@ -22,8 +22,16 @@ BUCKETS = 64
 BUCKET = "_bucket"
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """Rows of `target` replaced or extended by `source`; applying it twice changes nothing."""
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = ("id",), order: str | None = None) -> DataFrame:
+    """Rows of `target` replaced or extended by `source`; applying it twice changes nothing.
+
+    A key that `source` repeats is stored once: its row with the greatest `order`, or one of its rows without it.
+    """
+    if order is None:
+        source = source.dropDuplicates(list(keys))
+    else:
+        newest = source.groupBy(*keys).agg(F.max_by(F.struct(*source.columns), order).alias("_row"))
+        source = newest.select("_row.*")
     return target.join(source.select(*keys), list(keys), "left_anti").unionByName(source)
 
 

@@ -96,6 +96,23 @@ def test_publish_pages(spark, root):
     assert sorted(r.name for r in store.read_collection(spark, root).collect()) == ["0.txt", "1.txt", "3.txt"]
 
 
+def test_publish_pages_judges_each_source(spark, root):
+    body, schema = "<article>" + "word " * 60 + "</article>", "source string, url string, html string"
+    rules = spark.createDataFrame([(s, None, None, None) for s in "ab"], "source string, robots array<string>, exclude array<string>, include array<string>")
+    first = spark.createDataFrame([("a", "u/a1", body), ("b", "u/b1", body)], schema)
+    assert publish_pages(first, rules, root, "u/")["switched"] == 2
+    # one good url, four times, of five: its copies do not help it; the other source goes on
+    bad = [("b", "u/b2", body)] * 4 + [("b", f"u/stub{i}", "<article>x</article>") for i in range(4)]
+    again = spark.createDataFrame([("a", f"u/a{i}", body) for i in range(2, 5)] + bad, schema)
+    assert publish_pages(again, rules, root, "u/")["switched"] == 1
+    assert sorted(r.url for r in store.read_collection(spark, root).collect()) == ["u/a2", "u/a3", "u/a4", "u/b1"]
+
+
+def test_upsert_keeps_one_row_of_a_repeated_key(spark):
+    old, new = docs(spark, a="1"), docs(spark, b="2").union(docs(spark, b="3"))
+    assert store.upsert(old, new).count() == 2
+
+
 def test_versions(spark, root):
     assert load_versions(spark, root).count() == 0
     record = lambda **c: spark.createDataFrame([(c["id"], c["sha"], None, c.get("at"), ["f"])], "id string, sha string, last_checked string, last_ingested string, files array<string>")
