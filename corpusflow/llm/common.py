@@ -53,20 +53,26 @@ def fold_of(doc_id, folds: int):
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): one row (v, label) per vertex, the label being its smallest vertex.
 
-    Every round takes the smallest label among the neighbours and then follows the label's own label, so the
-    number of rounds grows with the logarithm of the longest path. The labels of a round are a written table.
+    Every round each vertex takes its smallest neighbour and then that one's; the vertices so joined become one, and
+    only edges between different ones go on. The graph shrinks by half at least, so rounds follow the logarithm of its
+    size. A round's edges and steps are written tables; the steps are put together at the end.
     """
-    both = stored(
-        edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("label")), f"{name}-labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("root"))
-        labels = stored(
-            lower.join(jump, "label").select("v", F.least("label", "root").alias("label"), (F.least("label", "root") < F.col("was")).alias("moved")),
-            f"{name}-labels")
-        moved = labels.where("moved").limit(1).count()
-        labels = labels.drop("moved")
-        if not moved:
-            return labels
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), f"{name}-edges")
+    steps = []
+    while not steps or edges.limit(1).count():
+        both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a"))
+        low = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("label"))
+        low = stored(low, f"{name}-low")
+        step = stored(
+            low.join(low.select(F.col("v").alias("label"), F.col("label").alias("root")), "label").select("v", F.col("root").alias("label")),
+            f"{name}-steps")
+        steps.append(step)
+        of = lambda side: step.select(F.col("v").alias(side), F.col("label").alias(f"_{side}"))
+        edges = stored(
+            edges.join(of("a"), "a").join(of("b"), "b").where("_a != _b")
+            .select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), f"{name}-edges")
+    labels = steps[0]
+    for step in steps[1:]:
+        on = step.select(F.col("v").alias("label"), F.col("label").alias("root"))
+        labels = labels.join(on, "label", "left").select("v", F.coalesce("root", "label").alias("label"))
+    return stored(labels, f"{name}-labels")
