@@ -8,8 +8,7 @@ distance of a power of two, where no padding is due, are looked up beside it. No
 run, and a repeated task gives the same sequences.
 
 Texts are cut before a blank that follows a visible character; the tokenizer's own pattern always starts a token
-there, so pieces encode as the whole text does, and each different piece is encoded once per worker process (in a
-cache of bounded size).
+there, so pieces encode as the whole text does, and a cache of bounded size keeps encoded pieces.
 
 Defined results: a null or empty text is the end id alone. Repeated documents are packed as often as they occur. An
 empty table gives no pieces. Of the input's columns the pieces carry the id alone.
@@ -31,9 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import query, table
 
-_CLOSE = re.compile(r"\s ")
+#: A white-space character right before a blank; everything that either pattern language counts as white space.
+_CLOSE = [chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
-CACHED = 800_000  # pieces
+CACHED = 300_000  # pieces
 _JOINED = 50  # pieces encoded as one text
 
 
@@ -55,13 +55,13 @@ class Encoder:
     A piece is what follows a blank up to the next; new pieces are encoded many at a time, joined by their blanks.
     """
 
-    def __init__(self, path: str, spans: bool = False) -> None:
+    def __init__(self, path: str, spans: bool = False, cached: int = CACHED) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spans = Tokenizer.from_file(path), spans
+        self.tokenizer, self.spans, self.cached = Tokenizer.from_file(path), spans, cached
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.rank = np.full(max(vocabulary.values()) + 1, 3, np.int8)
         self.blank = np.zeros(len(self.rank), bool)
@@ -80,7 +80,7 @@ class Encoder:
 
         kept = tokenizers.__dict__.setdefault("_encoders_of_this_worker", {})
         if (path, spans) not in kept:
-            kept[path, spans] = cls(path, spans)
+            kept[path, spans] = cls(path, spans, 800_000)
         return kept[path, spans]
 
     def clear(self) -> None:
@@ -129,7 +129,7 @@ class Encoder:
 
     @staticmethod
     def _keys(text: str) -> list[str]:
-        if _CLOSE.search(text) or text[-1] == " ":
+        if text[-1] == " " or any(map(text.__contains__, _CLOSE)):
             return [" " + x for x in _BEFORE_BLANK.split(text) if x]
         first, *rest = text.split(" ")
         return [" " + first, *rest] if first else rest
@@ -137,7 +137,7 @@ class Encoder:
     def pieces(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
         """Keys per text, and the places of all keys in order."""
         cut = [self._keys(x) if x else [] for x in texts]
-        if len(self.at) > CACHED:
+        if len(self.at) > self.cached:
             self.clear()
         which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         if self.at.fresh:
@@ -146,9 +146,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut, which = self.pieces(texts)
-        start, size = np.array(self.start)[which], np.array(self.size)[which]
+        start, size = np.frombuffer(self.start, np.int64)[which], np.frombuffer(self.size, np.int64)[which]
         out = np.cumsum(size)
-        ids = np.array(self.ids)[np.repeat(start - (out - size), size) + np.arange(size.sum())]
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(start - (out - size), size) + np.arange(size.sum())]
         per_text = np.concatenate([[0], np.cumsum([len(x) for x in cut])])
         bounds = np.concatenate([[0], out])[per_text]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
@@ -202,11 +202,12 @@ def best_cuts(cuts: np.ndarray, penalty: np.ndarray, width: int, each: float = 3
 
 def pack(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", *, width: int = 1024, end_id: int = 0,
-    penalties: tuple[float, float, float, float] = (0.0, 2.0, 4.0, 12.0), run_tokens: int = 1 << 18,
+    penalties: tuple[float, float, float, float] = (0.0, 2.0, 4.0, 12.0), run_tokens: int = 1 << 18, share: bool = True,
 ) -> DataFrame:
     """Pieces of documents: id, start (the document's ids before the piece), length, ids (little-endian 32-bit),
     doc_tokens, sequence_id and offset in the sequence. ``penalties``: cuts at document, sentence and clause ends and
-    elsewhere, in tokens of padding."""
+    elsewhere, in tokens of padding. ``share``: keep what has been encoded for the worker's next tasks, which saves time and
+    takes some 200 MB a worker; otherwise a task keeps its own, a third of that, and frees it."""
 
     def run(ids: list, parts: list[np.ndarray], encoder: Encoder, sequence: int) -> tuple[pd.DataFrame, int]:
         sizes = np.array([len(x) for x in parts])
@@ -227,14 +228,14 @@ def pack(
         return rows, sequence + len(chosen) - 1
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.held(tokenizer)
+        encoder = Encoder.held(tokenizer) if share else Encoder(tokenizer)
         sequence = TaskContext.get().partitionId() << 33
         ids: list = []
         parts: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for a in range(0, len(batch), 2000):
-                some = batch.iloc[a : a + 2000]
+            for a in range(0, len(batch), 500):
+                some = batch.iloc[a : a + 500]
                 for i, tokens in zip(some[doc_id], encoder.encode(some["text"].tolist())):
                     ids.append(None if pd.isna(i) else i)
                     parts.append(np.append(tokens, np.uint32(end_id)))

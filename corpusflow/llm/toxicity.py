@@ -65,7 +65,7 @@ def _measure(toxic: bytes, ordinary: bytes, level: int):
     def of(window: bytes) -> int:
         step = memo.get(window)
         if step is None:
-            if len(memo) > 400_000:
+            if len(memo) > 250_000:
                 memo.clear()
             framed = frame + window + b" "
             step = memo[window] = min(max(len(known(framed)) - len(rude(framed)), 0), STEPS)

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-CHUNK = 1 << 20  # bytes handled at once; a longer text is cut at a byte outside words
+CHUNK = 1 << 19  # bytes handled at once; a longer text is cut at a byte outside words
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -120,7 +120,7 @@ def runs(hashed: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def blocks(texts: Sequence[str | None], limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: Sequence[str | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts with some so many characters together."""
     start, size = 0, 0
     for i, text in enumerate(texts):
