@@ -210,6 +210,15 @@ def test_licenses(spark):
     assert found == {(0, "line"): "MIT-notice", (1, "line"): "Apache-2.0", (1, "block"): "Apache-2.0"}
 
 
+def test_licence_wordings_sentences_and_texts(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0-text"]
+    texts = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Copyright 2019 A. Person. All rights reserved. Ask first.",
+             licenses.TEMPLATES["Apache-2.0-header"] + " And more words follow. " + "Other things are said here too, at length. " * 9, gpl, licenses.TEMPLATES["BSD-3-Clause-text"]]
+    found = {(r.doc_id, r.kind, r.license) for r in licenses.scan(odd_docs(spark, list(enumerate(texts)))).collect()}
+    assert {(i, k, n.split("-notice")[0]) for i, k, n in found if i < 2} == {(0, "line", "MIT"), (1, "line", "GPL-3.0")}
+    assert {(2, "sentence", "Proprietary"), (3, "sentences", "Apache-2.0-header"), (4, "text", "GPL-3.0-text"), (5, "text", "BSD-3-Clause-text")} <= found
+
+
 # 6
 
 def test_decontamination_in_blocks(spark, folder):
