@@ -3,8 +3,9 @@
 A candidate is a run of at least 12 letters, digits and ``+/_-`` that holds a digit or stands behind ``=`` or ``:``.
 A forest trained on labelled findings tells secrets from look-alikes by the candidate's length, its transitions
 between kinds of characters, the share of it that the corpus uses as words, its path and the words beside it. The
-word counts behind the dictionary cover all texts; the forest is fitted on at most ``train_rows`` labelled findings,
-those with the smallest hashes.
+word counts behind the dictionary cover all texts; the forest is fitted on at most ``train_rows`` labelled findings of
+each kind, those with the smallest hashes. Where no labelled findings are given, as in the query and the pipeline, rules
+over the forest's own features label the findings that they settle (``weak_labels``).
 
 Defined results: null and empty texts have no candidates, a null path counts as empty. Equal rows (id, path and text)
 share one set of findings. Without labelled findings of both kinds nothing is removed: every score is 1.0. The control
@@ -93,7 +94,8 @@ def with_features(found: DataFrame, docs: DataFrame, text: str = "text", least_d
         "path_is_test": flag(F.lower("path").rlike("test|example|sample|fixture|doc")), "announced": flag(F.col("left").rlike(ANNOUNCED)),
         "announced_near": flag(F.lower("left").rlike("pass|secret|token|key|credential|auth")), "plain_near": flag(F.col("left").rlike(PLAIN)),
         "after_equals": flag(F.col("left").rlike(r"""[=:]\s*["']?$""")), "quoted": flag(F.col("left").rlike("""["'`]$""")),
-        "inside_address": flag(F.col("left").rlike(r"[@.:/]$") | F.col("right").rlike(r"^[@.][A-Za-z0-9]")),
+        "inside_address": flag(
+            F.col("left").rlike(r"[@./]$") | (F.col("left").rlike(":$") & ~F.col("left").rlike(ANNOUNCED)) | F.col("right").rlike(r"^[@.][A-Za-z0-9]")),
         "left_is_word": F.coalesce("left_is_word", F.lit(0.0)), "right_is_word": F.coalesce("right_is_word", F.lit(0.0)),
     })
 
@@ -112,14 +114,15 @@ def _vectors(found: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, *, train_rows: int = 20_000, trees: int = 30, depth: int = 6) -> RandomForestClassificationModel | None:
-    """A forest from findings with features and a label 0 or 1; None unless both occur."""
+    """A forest from findings with features and a label 0 or 1, at most ``train_rows`` of each; None unless both occur."""
     rows = labelled.where("label in (0, 1)").withColumn("label", F.col("label").cast("double"))
     counted = rows.groupBy("label").count().collect()
     if len(counted) < 2:
         return None
-    share = {r["label"]: max(1, r["count"]) for r in counted}
+    share = {r["label"]: min(train_rows, r["count"]) for r in counted}
     weight = F.when(F.col("label") == 1, 1.0 / share[1.0]).otherwise(1.0 / share[0.0]) * sum(share.values()) / 2
-    sample = rows.orderBy(F.xxhash64("secret", "left", "right"), "secret", "left", "right").limit(train_rows)
+    of = lambda kind: rows.where(F.col("label") == kind).orderBy(F.xxhash64("secret", "left", "right"), "secret", "left", "right").limit(train_rows)
+    sample = of(0.0).unionByName(of(1.0))
     data = stored(_vectors(sample).select("label", "_features", weight.alias("weight")), "findings")
     return RandomForestClassifier(
         featuresCol="_features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=7).fit(data)

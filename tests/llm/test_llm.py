@@ -78,6 +78,21 @@ def test_secrets_offsets_and_redaction(spark):
     assert secrets.redact(df.limit(0)).count() == 0
 
 
+def test_forest_learns_few_secrets_among_many_look_alikes(spark):
+    rows = [(f"{i:016d}", 0, 1.0) for i in range(3000)] + [(f"k{i}abcdefghijkl", 1, 0.2) for i in range(6)]
+    df = spark.createDataFrame(rows, "secret string, label int, digits double").withColumns({"left": F.lit(""), "right": F.lit("")})
+    df = df.withColumns({f: F.lit(0.0) for f in secrets.FEATURES if f != "digits"})
+    found = secrets.judge(df, secrets.train(df, train_rows=40)).groupBy("label").agg(F.avg(F.col("is_secret").cast("int")).alias("share")).collect()
+    assert {r.label: r.share for r in found} == {0: 0.0, 1: 1.0}
+
+
+def test_colon_behind_an_announcing_word_is_no_address(spark):
+    key = "cd5c291ad0fad3e545"
+    df = odd_docs(spark, [(1, f"password:{key} end"), (2, f"host:{key} end")]).drop("path", "k1", "label", "score")
+    found = secrets.weak_labels(secrets.with_features(secrets.candidates(df), df))
+    assert {r.doc_id: (r.inside_address, r.label) for r in found.collect()} == {1: (0.0, 1), 2: (1.0, 0)}
+
+
 # 3
 
 def plain_sets(texts, width=5):
