@@ -298,6 +298,18 @@ def test_mixing_of_odd_rows(spark):
     assert mixing.score(odd_docs(spark).withColumn("h", F.lit(False)).limit(0), "doc_id", "text", "h").count() == 0
 
 
+def test_mixing_follows_short_texts():
+    import numpy as np
+
+    tokens, owner, _ = mixing._tokens(["a b " * 50])
+    token, slots = np.unique(tokens), 1 << 10
+    code, length = mixing.huffman([5, 5, 1, 1])
+    codes, none = mixing.Codes(token, code, length, np.zeros(4, bool), -1.0, -1.0), np.zeros(mixing.CONTEXTS * slots, np.float32)
+    start = lambda **kw: mixing._score(
+        tokens, owner, 1, np.ones(len(tokens), np.int64), codes, mixing._nodes(codes), *mixing._inputs(none, none), np.zeros(mixing.WEIGHTS), slots, **kw)[0]
+    assert start() > start(rate=0.0)
+
+
 # 10
 
 def test_toxicity_on_held_out_rows(spark):
