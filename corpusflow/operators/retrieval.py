@@ -1,4 +1,4 @@
-"""Exact and approximate vector top-k retrieval.
+"""Exact vector top-k retrieval; `vector_index` has the approximate search.
 
 Scores come from dense blocks: a NumPy matrix product of some questions with some collection rows that
 keeps only each question's best k rows (or a count), so pairs never become DataFrame rows. Two ways to
@@ -280,47 +280,6 @@ def count_above_floor(
     return counts.unionByName(none).groupBy("qid").agg(F.sum("n").alias("n"))
 
 
-def _signatures(df: DataFrame, vec: str, tables: int, bits: int, dims: int, seed: int) -> DataFrame:
-    """One row per hash table: the side of `bits` fixed random hyperplanes the vector lies on."""
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dims))
-    weights = 2 ** np.arange(bits, dtype=np.int64)
-
-    @F.pandas_udf("array<bigint>")
-    def sides(vectors):
-        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        above = (matrix @ planes.T >= 0).reshape(len(matrix), tables, bits)
-        return type(vectors)(list((above * weights).sum(axis=2)))
-
-    return df.select("*", F.posexplode(sides(F.col(vec))).alias("_table", "_bucket"))
-
-
-def retrieve_approx(
-    questions: DataFrame,
-    collection: DataFrame,
-    *,
-    dims: int,
-    k: int = TOP_K,
-    floor: float = SCORE_FLOOR,
-    space: str = "cosine",
-    keys: Sequence[str] = ("platform",),
-    skip_self: bool = False,
-    tables: int = 8,
-    bits: int = 4,
-    seed: int = 7,
-    **grid,
-) -> DataFrame:
-    """Approximate `retrieve`: only rows that share a random-hyperplane bucket with the question are scored.
-
-    Scores are exact; recall grows with `tables` and falls with `bits`. Crowded buckets are split over the
-    same grid as the exact search.
-    """
-    asked = _signatures(questions, "qvec", tables, bits, dims, seed)
-    rows = _signatures(collection, "vec", tables, bits, dims, seed)
-    hits = _winners(asked, rows, [*keys, "_table", "_bucket"], k=k, floor=floor, space=space,
-                    skip_self=skip_self, counting=False, broadcast_bytes=0, **grid)
-    return _rank(hits.groupBy("qid", "id").agg(F.max("score").alias("score")), k)
-
-
 def rag_sources(hits: DataFrame, source: str = "source") -> DataFrame:
     """Ordered (source, score) list per question. A question has at most k hits, so the list is bounded."""
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(source).alias("source"), "score")))

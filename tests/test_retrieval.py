@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import retrieval
-from corpusflow.operators.retrieval import build_context, count_above_floor, rag_sources, retrieve, retrieve_approx
+from corpusflow.operators import vector_index
+from corpusflow.operators.retrieval import build_context, count_above_floor, rag_sources, retrieve
+from corpusflow.operators.vector_index import VectorIndex, build_index
 
 RNG = np.random.default_rng(3)
 
@@ -95,21 +97,70 @@ def test_skip_self(sides):
     assert retrieve(same, sides[1], k=200).where("qid = id").count() == 341
 
 
-def test_approx_scores_are_exact_and_recall_is_high(spark, folder):
-    e = spark.read.parquet(f"{folder}/embeddings.parquet")
-    questions = e.select(F.col("vec_id").alias("qid"), F.lit("x").alias("platform"), F.col("embedding").alias("qvec"))
-    rows = e.select(F.col("vec_id").alias("id"), F.lit("x").alias("platform"), F.col("embedding").alias("vec"))
-    exact = {(r.qid, r.id): r.score for r in retrieve(questions, rows, skip_self=True).collect()}
-    near = retrieve_approx(questions, rows, dims=64, skip_self=True, tables=16, bits=3).collect()
-    every = {(r.qid, r.id): r.score for r in retrieve(questions, rows, k=10**6, skip_self=True).collect()}
-    assert all(every[(r.qid, r.id)] == pytest.approx(r.score) for r in near)
-    assert len(exact.keys() & {(r.qid, r.id) for r in near}) >= 0.85 * len(exact)
-
-
-def test_approx_splits_a_crowded_bucket(sides):
-    crowded = dict(dims=8, tables=1, bits=1, floor=0.9, k=3)
-    split = retrieve_approx(sides[0], sides[1], cell_rows=16, cell_questions=4, **crowded)
-    assert sorted(split.collect()) == sorted(retrieve_approx(sides[0], sides[1], **crowded).collect())
+def recall(found, exact):
+    exact = {(r.qid, r.id) for r in exact.collect()}
+    return len(exact & {(r.qid, r.id) for r in found.collect()}) / len(exact)
+
+
+def clustered(spark, n=3000, dims=16, seed=5):
+    """Rows around 40 centres; the first platform holds nine tenths."""
+    rng = np.random.default_rng(seed)
+    vectors = (rng.standard_normal((40, dims))[rng.integers(0, 40, n)] + 0.4 * rng.standard_normal((n, dims))).astype(np.float32)
+    keys = ["hot" if i % 10 else "cold" for i in range(n)]
+    rows = table(spark, ("id", "vec"), range(n), keys, vectors)
+    return rows, rows.where("id % 100 = 0").select(F.col("id").alias("qid"), "platform", F.col("vec").alias("qvec"))
+
+
+@pytest.mark.parametrize("space", ["cosine", "l2"])
+def test_index_recall_and_share(spark, space):
+    rows, questions = clustered(spark)
+    index = build_index(rows, space=space)
+    args = dict(space=space, floor=0.1, skip_self=True)
+    found = index.search(questions, floor=0.1, skip_self=True)
+    assert recall(found, retrieve(questions, rows, **args)) >= 0.9
+    every = {(r.qid, r.id): r.score for r in retrieve(questions, rows, k=10**6, **args).collect()}
+    assert all(every[r.qid, r.id] == pytest.approx(r.score) for r in found.collect())
+    cells = index.rows.groupBy("platform", "cell").count()
+    scored = index.probes(questions).join(cells, ["platform", "cell"]).groupBy("platform").agg(F.sum("count").alias("n"), F.countDistinct("qid").alias("q"))
+    total = {r.platform: r["count"] for r in rows.groupBy("platform").count().collect()}
+    assert all(r.n <= total[r.platform] * r.q / 3 for r in scored.collect())
+
+
+def test_index_of_all_cells_is_the_exact_search(sides):
+    index = build_index(sides[1])
+    assert sorted(index.search(sides[0], share=1.0).collect()) == sorted(retrieve(sides[0], sides[1]).collect())
+
+
+def test_index_by_the_grid_equals_the_broadcast(sides, monkeypatch):
+    few = build_index(sides[1])
+    expected = sorted(few.search(sides[0]).collect())
+    assert sorted(few.search(sides[0], broadcast_bytes=0, cell_rows=16, cell_questions=4).collect()) == expected
+    monkeypatch.setattr(vector_index, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(vector_index, "CELL_ROWS", 50)
+    assert sorted(build_index(sides[1]).search(sides[0], broadcast_bytes=0).collect()) == expected
+
+
+def test_saved_index_prunes_cells(spark, sides, root):
+    index = build_index(sides[1])
+    index.save(root)
+    loaded = VectorIndex.load(spark, root)
+    found = loaded.search(sides[0])
+    assert sorted(found.collect()) == sorted(index.search(sides[0]).collect())
+    one = loaded.search(sides[0].limit(1))
+    plan = one._jdf.queryExecution().executedPlan().treeString()
+    assert "(cell," in plan.split("PushedFilters:")[1].split("]")[0]
+
+
+def test_index_of_odd_rows(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 0.0]), (3, "a", [0.0, 0.0]), (4, None, [1.0, 0.0]), (5, "a", None), (6, "b", [0.0, 1.0])],
+        "id bigint, platform string, vec array<float>").withColumn("cell", F.lit("clash")).withColumn("weight", F.lit(0))
+    questions = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, "c", [1.0, 0.0]), (4, "b", None)], "qid bigint, platform string, qvec array<float>")
+    index = build_index(rows)
+    assert sorted(r.id for r in index.rows.collect()) == [1, 2, 3, 6]
+    assert [(r.qid, r.id, r.score) for r in index.search(questions, share=1.0).orderBy("qid", "rank").collect()] == [(1, 1, 1.0), (1, 2, 1.0)]
+    empty = build_index(rows.limit(0))
+    assert empty.rows.count() == 0 and empty.search(questions).count() == 0
 
 
 def test_context_and_sources(spark):
