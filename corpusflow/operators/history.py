@@ -1,11 +1,9 @@
-"""Turn history: recent, lookup, substring and full-text search, rendering."""
+"""Turn history: recent, lookup, substring search, token index, rendering. `search` has the full-text search."""
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import decode_list, strip, words
-from corpusflow.operators.windows import cap_per_group
 
 TOOLS = "struct<name:string,args:map<string,string>,result:string>"
 SOURCES = "struct<source:string,score:double>"
@@ -65,54 +62,6 @@ def build_index(turns: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     return turns.select(F.explode(both).alias("token"), *keys)
 
 
-def query_terms(query: str) -> list[tuple[str, bool, str | None]]:
-    """Search terms as (token, is_prefix, phrase): plain words, prefix*, and the words of a "quoted phrase"."""
-    terms: list[tuple[str, bool, str | None]] = []
-    for quoted, plain in re.findall(r'"([^"]*)"|(\S+)', query):
-        tokens = re.findall(r"[^\W_]+", (quoted or plain).lower())
-        prefix = not quoted and plain.endswith("*")
-        for i, token in enumerate(tokens):
-            terms.append((token, prefix and i == len(tokens) - 1, " ".join(tokens) if len(tokens) > 1 else None))
-    return list(dict.fromkeys(terms))
-
-
-def search_turns(
-    turns: DataFrame, index: DataFrame, searches: dict[str, str], n: int = 20, keys: Sequence[str] = ("id",)
-) -> DataFrame:
-    """Newest n turns per named search that hold all its terms: (search, *keys, query, response).
-
-    The terms stand in the plan, so a stored index is filtered in its scan and the postings meet no join. A turn
-    needs as many distinct terms as the search has. Phrases are then checked on the candidates' own text. Blank searches find nothing.
-    """
-    keys = list(keys)
-    parsed = {name: query_terms(q) for name, q in searches.items()}
-    parsed = {name: terms for name, terms in parsed.items() if terms}
-    wanted = [(name, i, *term[:2]) for name, terms in parsed.items() for i, term in enumerate(terms)]
-    if not wanted:
-        return turns.where("false").select(F.lit("").alias("search"), *keys, "query", "response")
-    covers = lambda token, want, prefix: token.startswith(want) if prefix else token == want
-    any_of = reduce(Column.__or__, [covers(F.col("token"), want, prefix) for _, _, want, prefix in wanted])
-    labels = F.array(*[
-        F.when(covers(F.col("token"), want, prefix), F.struct(F.lit(name).alias("search"), F.lit(i).alias("term")))
-        for name, i, want, prefix in wanted
-    ])
-    n_terms = F.create_map(*[F.lit(x) for name, terms in parsed.items() for x in (name, len(terms))])
-    hits = (
-        index.where(any_of).select(*keys, F.inline(F.array_compact(labels)))
-        .groupBy("search", *keys).agg(F.count_distinct("term").alias("_found"))
-        .where(F.col("_found") == F.element_at(n_terms, F.col("search")))
-        .select("search", *keys)
-    )
-    matched = hits.join(turns, keys)
-    flat = lambda c: F.concat(F.lit(" "), F.array_join(words(F.coalesce(c, F.lit(""))), " "), F.lit(" "))
-    for name, terms in parsed.items():
-        for phrase in dict.fromkeys(p for _, _, p in terms if p):
-            held = F.contains(flat("query"), F.lit(f" {phrase} ")) | F.contains(flat("response"), F.lit(f" {phrase} "))
-            matched = matched.where((F.col("search") != name) | held)
-    newest = [F.col(k).desc() for k in keys]
-    return cap_per_group(matched, ["search"], newest, n).select("search", *keys, "query", "response")
-
-
 def daily_entries(turns: DataFrame) -> DataFrame:
     """Markdown of each turn with its date; the first turn of a day carries the day's heading: (date, id, text).
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import decode_args, iso_seconds
 from corpusflow.operators.history import (
-    build_index, daily_entries, decode_turns, get_turn, query_history, recent, render_turns, search_like, search_turns,
-    turn_count,
+    build_index, daily_entries, decode_turns, get_turn, query_history, recent, render_turns, search_like, turn_count,
 )
+from corpusflow.operators.search import build_postings, search_turns
 from corpusflow.operators.windows import latest_per_key, pair_turns, session_window
 from corpusflow.plans.workloads.base import Tables, query
 from corpusflow.session import scratch_path
@@ -80,35 +80,54 @@ def index(t: Tables) -> DataFrame:
     return build_index(turns(t), KEYS)
 
 
-def _phrase(column: str) -> str:
-    return f"contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ' ') || ' ', ' of the ')"
-
-
+def _phrase(column: str, phrase: str) -> str:
+    return f"contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), ' ') || ' ', ' {phrase} ')"
+
+
+_EAU = "len(list_filter(ws, lambda w: starts_with(w, 'eau'))) > 0"
+#: name: (search, the same as a condition on a turn and its words ws)
+_CASES = {
+    "terms": ("The and", "list_contains(ws, 'the') AND list_contains(ws, 'and')"),
+    "prefix": ("eau*", _EAU),
+    "phrase": ('"of the"', f"{_phrase('query', 'of the')} OR {_phrase('response', 'of the')}"),
+    "either": ('"of the" OR la NOT que', f"{_phrase('query', 'of the')} OR {_phrase('response', 'of the')} OR (list_contains(ws, 'la') AND NOT list_contains(ws, 'que'))"),
+    "grouped": ("(eau* OR der) AND query : die", f"({_EAU} OR list_contains(ws, 'der')) AND {_phrase('query', 'die')}"),
+    "start": ("^ in + die OR ^the", "regexp_matches(lower(query), '^[^\\p{L}\\p{N}]*(in[^\\p{L}\\p{N}]+die|the)([^\\p{L}\\p{N}]|$)')"
+              " OR regexp_matches(lower(response), '^[^\\p{L}\\p{N}]*(in[^\\p{L}\\p{N}]+die|the)([^\\p{L}\\p{N}]|$)')"),
+    "sign": ("the.", "query ILIKE '%the.%' OR response ILIKE '%the.%'"),
+    "operator": ("the OR", "query ILIKE '%the OR%' OR response ILIKE '%the OR%'"),
+    "quote": ('of "the', """query ILIKE '%of "the%' OR response ILIKE '%of "the%'"""),
+    "blank": ("  ", "false"),
+}
+_SEARCHES = {name: search for name, (search, _) in _CASES.items()}
 _FOUND_SQL = f"""
-    WITH {_TURNS}, worded AS (SELECT *, {_WORDS} AS ws FROM turns),
-    hits AS (
-        SELECT 'terms' AS search, * FROM worded WHERE list_contains(ws, 'the') AND list_contains(ws, 'and')
-        UNION ALL SELECT 'prefix', * FROM worded WHERE len(list_filter(ws, lambda w: starts_with(w, 'eau'))) > 0
-        UNION ALL SELECT 'phrase', * FROM worded WHERE {_phrase('query')} OR {_phrase('response')}
-    )
+    WITH {_TURNS},
+    quoted AS (SELECT conv_id, turn, query, replace(response, 'of the', 'of "the') AS response FROM turns),
+    worded AS (SELECT *, {_WORDS} AS ws FROM quoted),
+    hits AS ({" UNION ALL ".join(f"SELECT '{name}' AS search, * FROM worded WHERE {held}" for name, (_, held) in _CASES.items())})
     SELECT search, conv_id, turn, query, response FROM (
         SELECT *, row_number() OVER (PARTITION BY search ORDER BY conv_id DESC, turn DESC) AS rn FROM hits) WHERE rn <= 20
 """
-_SEARCHES = {"terms": "The and", "prefix": "eau*", "phrase": '"of the"', "blank": "  "}
+
+
+def _quoted(t: Tables) -> DataFrame:
+    """Turns, some with a quotation mark in the response."""
+    return turns(t).withColumn("response", F.replace("response", F.lit("of the"), F.lit('of "the')))
 
 
 @query("fts_search", _FOUND_SQL)
 def full_text(t: Tables) -> DataFrame:
-    pairs = turns(t)
-    return search_turns(pairs, build_index(pairs, KEYS), _SEARCHES, 20, KEYS)
+    """Match expressions, and three searches that are none and compare as LIKE patterns."""
+    pairs = _quoted(t)
+    return search_turns(pairs, build_postings(pairs, KEYS), _SEARCHES, 20, KEYS)
 
 
 @query("stored_index_search", _FOUND_SQL)
 def stored_index(t: Tables) -> DataFrame:
     """The same searches on an index that was written in token order."""
     root = scratch_path(t.spark, "index")
-    pairs = turns(t)
-    write_index(build_index(pairs, KEYS), root, KEYS)
+    pairs = _quoted(t)
+    write_index(build_postings(pairs, KEYS), root, KEYS)
     return search_turns(pairs, t.spark.read.parquet(root), _SEARCHES, 20, KEYS)
 
 

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import catalog, evaluation, history, lineage, refresh, urls, windows
+from corpusflow.operators import catalog, evaluation, history, lineage, refresh, search, urls, windows
 
 
 def frame(spark, schema, *rows):
@@ -300,15 +300,56 @@ def test_search(spark):
         spark, "id int, query string, response string",
         (1, "How do I copy a Table", "use clone"), (2, "table of contents", "copy it"), (3, "tables", "50%_x"), (4, "of", "the end"),
     )
-    index = history.build_index(turns)
-    found = history.search_turns(turns, index, {"and": "copy TABLE", "pre": "tabl*", "phrase": '"table of"', "seam": '"of the"', "none": " "})
+    index = search.build_postings(turns)
+    found = search.search_turns(turns, index, {"and": "copy TABLE", "pre": "tabl*", "phrase": '"table of"', "seam": '"of the"', "none": " "})
     assert rows(found.select("search", "id"), "search", "id") == [("and", 1), ("and", 2), ("phrase", 2), ("pre", 1), ("pre", 2), ("pre", 3)]
-    assert history.search_turns(turns, index, {"none": ""}).count() == 0
+    assert search.search_turns(turns, index, {"none": ""}).count() == 0
     assert [r.id for r in history.search_like(turns, "COPY").collect()] == [2, 1]
     assert [r.id for r in history.search_like(turns, "50%").collect()] == [3]
     assert [r.id for r in history.recent(turns, 2).collect()] == [4, 3] and history.get_turn(turns, id=2).head().query == "table of contents"
 
 
+TEXTS = [
+    (1, "a b c a b", "c d"), (2, "b a", "a b"), (3, "A. B!", None), (4, None, "b c d"), (5, "ab", "abc a"), (6, "", ""), (7, 'say "a b', "50%_x (a"), (8, "a b x a b c", "d"),
+]
+MATCHES = {
+    "a b": [1, 2, 3, 7, 8], '"a b"': [1, 2, 3, 7, 8], '"a b c"': [1, 8], "a + b + c": [1, 8], '"a b" *': [1, 2, 3, 7, 8], "ab*": [5], '"a b" NOT d': [2, 3, 7],
+    "c OR ab": [1, 4, 5, 8], "d AND c NOT a": [4], "d NOT a OR ab": [4, 5], "(ab OR b) AND c": [1, 4, 8], "query : a": [1, 2, 3, 7, 8], "response : a": [2, 5, 7],
+    "^b": [2, 4], "^ab*": [5], '^ "a b"': [1, 2, 3, 8], "response : ^a": [2], "and": [], "a NOT b": [5], '""': [], '"!!" a NOT b': [5], '"" OR ab': [5], 'a NOT "."': [1, 2, 3, 5, 7, 8],
+    # no expressions: LIKE patterns
+    '"a b': [7], "a.": [3], "50%": [7], "(a": [7], "a OR": [], "AND": [], "NEAR(a b)": [], "titel : a": [], "a (b)": [], "_x": [], "%_x (": [7], "a )": [], "x'": [],
+}
+
+
+def test_match_expressions(spark):
+    turns = frame(spark, "id int, query string, response string", *TEXTS)
+    found = search.search_turns(turns, search.build_postings(turns), {m: m for m in MATCHES})
+    assert {m: sorted(r.id for r in found.where(F.col("search") == m).collect()) for m in MATCHES if m != "_x"} == {m: x for m, x in MATCHES.items() if m != "_x"}
+
+
+def test_match_grammar():
+    assert search.parse_match("  ") is None and search.parse_match('"?"') is None
+    a, b, c = (search.Phrase((x,)) for x in "abc")
+    assert search.parse_match("a b NOT c") == ("NOT", ("AND", a, b), c)
+    assert search.parse_match("a OR b AND c") == ("OR", a, ("AND", b, c))
+    assert search.parse_match('"say ""a"""') == search.Phrase(("say", "a"))
+    for wrong in ('"a', "a AND", "OR a", "(a", "a)", "()", "a.b", "x : a", "a +", "*", "NEAR(a b)", "a (b)", "NOT a", ":", "-a"):
+        with pytest.raises(search.MatchError):
+            search.parse_match(wrong)
+
+
+def test_search_caps_before_text_is_read(spark, tmp_path):
+    turns = frame(spark, "id int, query string, response string", *[(i, f"word {i}", "x y") for i in range(50)])
+    turns.write.parquet(str(tmp_path / "turns"))
+    search.build_postings(turns).write.parquet(str(tmp_path / "index"))
+    turns, index = (spark.read.parquet(str(tmp_path / x)) for x in ("turns", "index"))
+    found = search.search_turns(turns, index, {"a": "word", "b": '"x y" OR word'}, 3)
+    assert rows(found.select("search", "id"), "search", "id") == [(s, i) for s in "ab" for i in (47, 48, 49)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window"):]
+    assert "response" not in below and "query" not in below and "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
 TURN = "id int, ts string, platform string, query string, response string, tools_json string, rag_sources_json string, latency_ms int"
 
 
