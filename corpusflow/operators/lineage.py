@@ -1,10 +1,17 @@
-"""Reachability over an edge table."""
+"""Reachability over an edge table, by bitset frontiers.
+
+Seeds are numbered and stand for bits of long words. The walk's rows are (node, word, bits), 64 seeds a row where they
+meet, and not pairs of seed and node; a hop carries the newest bits along the edges and joins equal rows with
+``bit_or``, so parallel paths collapse below the shuffle. Every hop writes one table, the words seen so far and the
+bits that are new, which the next hop reads alone; no earlier level is read again. The walk is bounded by its hops;
+totals over all hops are counted from the bits, and only on request.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.windows import cap_per_group
@@ -16,53 +23,100 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     if direction not in ("UPSTREAM", "DOWNSTREAM"):
         raise ValueError(f"unknown direction: {direction}")
     src, dst = ("src", "dst") if direction == "DOWNSTREAM" else ("dst", "src")
-    return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+
+
+def number_seeds(seeds: DataFrame) -> DataFrame:
+    """Distinct seeds with their place: (seed, word, bit). Numbers follow partitions, so they are written once and kept."""
+    place = F.monotonically_increasing_id()
+    distinct = seeds.where("seed IS NOT NULL").select("seed").distinct().withColumn("_at", place)
+    return cut_lineage(distinct.select("seed", F.shiftright("_at", 6).alias("word"), (F.col("_at") % 64).cast("int").alias("bit")))
+
+
+def _bit(place: Column | str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(place) if isinstance(place, str) else place)
 
 
-def _walk(edges: DataFrame, seeds: DataFrame, direction: str, max_hops: int | None) -> DataFrame:
-    """Breadth-first levels. Each hop joins the newest level only, and is checkpointed, so that the next hop and
-    the result read it instead of computing it again; a last bounded hop stays lazy."""
+def walk(edges: DataFrame, numbered: DataFrame, direction: str, max_hops: int | None) -> list[DataFrame]:
+    """One table (node, word, bits) per hop: the seeds of a word that reach the node first at this distance.
+
+    ``numbered``: see `number_seeds`. Without a bound the walk ends when a hop brings nothing new. The last bounded
+    hop stays lazy. A seed does not reach itself again.
+    """
     ways = _oriented(edges, direction)
     if max_hops != 1:
-        ways = cut_lineage(ways)
-    levels = [seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("degree"))]
-    while max_hops is None or len(levels) <= max_hops:
-        reached = reduce(DataFrame.unionByName, levels).select("seed", "node")
-        # distinct (seed, node): parallel paths collapse before the next hop
+        ways = cut_lineage(ways.distinct())
+    seen = numbered.select(F.col("seed").alias("node"), "word", _bit("bit").alias("seen"))
+    fresh = seen.withColumnRenamed("seen", "bits")
+    levels: list[DataFrame] = []
+    while max_hops is None or len(levels) < max_hops:
         found = (
-            levels[-1].select("seed", F.col("node").alias("src")).join(ways, "src")
-            .select("seed", F.col("dst").alias("node")).distinct()
-            .join(reached, ["seed", "node"], "left_anti")
-            .withColumn("degree", F.lit(len(levels)))
+            fresh.withColumnRenamed("node", "src").join(ways, "src")
+            .groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("found"))
         )
-        if len(levels) != max_hops:
-            found = cut_lineage(found)
-            if found.isEmpty():
-                break
-        levels.append(found)
-    return reduce(DataFrame.unionByName, levels).where(F.col("degree") > 0)
+        last = len(levels) + 1 == max_hops
+        before, now = F.coalesce("seen", F.lit(0)), F.coalesce("found", F.lit(0))
+        state = found.join(seen, ["node", "word"], "left" if last else "full").select(
+            "node", "word", before.bitwiseOR(now).alias("seen"), now.bitwiseAND(F.bitwise_not(before)).alias("bits"))
+        if not last:
+            state = cut_lineage(state)
+        fresh, seen = state.where("bits <> 0").select("node", "word", "bits"), state.select("node", "word", "seen")
+        if not last and fresh.isEmpty():
+            break
+        levels.append(fresh)
+    return levels
+
+
+def _places(levels: DataFrame) -> DataFrame:
+    """Rows of one bit each: the level's columns, word and bit."""
+    kept = [c for c in levels.columns if c != "bits"]
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("bits").bitwiseAND(_bit(i)) != 0)
+    return levels.select(*kept, F.explode(set_bits).alias("bit"))
 
 
-def lineage(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM", max_hops: int = 1) -> DataFrame:
+def _pairs(levels: list[DataFrame], numbered: DataFrame, like: DataFrame) -> DataFrame:
+    """(seed, node, degree) of the levels."""
+    if not levels:
+        return like.select("seed", F.col("seed").alias("node"), F.lit(1).alias("degree")).where("false")
+    marked = reduce(DataFrame.unionByName, [x.withColumn("degree", F.lit(hop)) for hop, x in enumerate(levels, 1)])
+    return _places(marked).join(numbered, ["word", "bit"]).select("seed", "node", "degree")
+
+
+def lineage(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM", max_hops: int | None = 1) -> DataFrame:
     """Nodes within max_hops of each seed and their smallest distance: (seed, node, degree).
 
     edges: src, dst, pointing downstream; seeds: seed. A node is expanded once per seed, so cycles end.
     """
-    return _walk(edges, seeds, direction, max_hops)
+    numbered = number_seeds(seeds)
+    return _pairs(walk(edges, numbered, direction, max_hops), numbered, seeds)
 
 
 def lineage_all(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM") -> DataFrame:
     """`lineage` without a bound on the hops; it stops when a hop finds nothing new."""
-    return _walk(edges, seeds, direction, None)
+    return lineage(edges, seeds, direction, None)
+
+
+def _totals(levels: list[DataFrame], numbered: DataFrame) -> DataFrame:
+    """(seed, total_all_hops): bits counted per place, without node names; 0 for seeds that reach nothing."""
+    everywhere = reduce(DataFrame.unionByName, [numbered.select("word", _bit("bit").alias("bits")), *[x.select("word", "bits") for x in levels]])
+    counted = _places(everywhere).groupBy("word", "bit").agg((F.count("*") - 1).alias("total_all_hops"))
+    return counted.join(numbered, ["word", "bit"]).select("seed", "total_all_hops")
+
+
+def lineage_totals(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM") -> DataFrame:
+    """How many nodes each seed reaches over all hops: (seed, total_all_hops)."""
+    numbered = number_seeds(seeds)
+    return _totals(walk(edges, numbered, direction, None), numbered)
 
 
 def capped_lineage(
-    edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM", max_hops: int = 1, count: int = 50
+    edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM", max_hops: int = 1, count: int = 50, totals: bool = False
 ) -> DataFrame:
-    """Per seed the `count` nearest nodes within max_hops, and total_all_hops from the unbounded walk."""
-    everything = lineage_all(edges, seeds, direction)
-    totals = everything.groupBy("seed").agg(F.count("*").alias("total_all_hops"))
-    near = cap_per_group(
-        everything.where(F.col("degree") <= max_hops), ["seed"], [F.col("degree"), F.col("node")], count
-    )
-    return near.join(totals, "seed")
+    """Per seed the `count` nearest nodes within max_hops: (seed, node, degree). The walk goes no further than max_hops.
+
+    With ``totals`` the walk goes on over all hops and adds total_all_hops.
+    """
+    numbered = number_seeds(seeds)
+    levels = walk(edges, numbered, direction, None if totals else max_hops)
+    near = cap_per_group(_pairs(levels[:max_hops], numbered, seeds), ["seed"], [F.col("degree"), F.col("node")], count)
+    return near.join(_totals(levels, numbered), "seed") if totals else near

@@ -10,7 +10,7 @@ from corpusflow.operators.catalog import (
     add_tags, current_version, dataset_detail, facet, filter_attrs, flatten_nested, object_rollup, search_entities,
     search_glossary, summarize_entities,
 )
-from corpusflow.operators.lineage import capped_lineage, lineage
+from corpusflow.operators.lineage import capped_lineage, lineage, lineage_totals
 from corpusflow.plans.workloads.base import Tables, query
 from corpusflow.plans.workloads.web import DOMAIN_SQL, with_source
 
@@ -144,20 +144,30 @@ def hops(t: Tables) -> DataFrame:
 @query("lineage_capped", f"""
     WITH {_EDGES_SQL},
     seeds AS (SELECT 'part/' || p_partkey AS seed FROM part),
-    one AS (SELECT seed, src AS node, 1 AS degree FROM seeds JOIN edges ON dst = seed),
-    two AS (SELECT DISTINCT seed, src AS node, 2 AS degree FROM one JOIN edges ON dst = node),
-    reached AS (SELECT * FROM one UNION ALL SELECT * FROM two),
-    totals AS (SELECT seed, count(*) AS total_all_hops FROM reached GROUP BY 1)
-    SELECT seed, node, degree, total_all_hops FROM (
-        SELECT *, row_number() OVER (PARTITION BY seed ORDER BY degree, node) AS rn FROM reached WHERE degree <= 1
-    ) JOIN totals USING (seed) WHERE rn <= 20
+    reached AS (SELECT DISTINCT seed, src AS node, 1 AS degree FROM seeds JOIN edges ON dst = seed)
+    SELECT seed, node, degree FROM (
+        SELECT *, row_number() OVER (PARTITION BY seed ORDER BY degree, node) AS rn FROM reached
+    ) WHERE rn <= 20
 """)
 def capped(t: Tables) -> DataFrame:
-    """The first 20 orders one hop upstream of every part, and how many nodes there are over all hops."""
+    """The first 20 orders one hop upstream of every part; nothing beyond that hop is walked."""
     seeds = t.part.select(F.concat(F.lit("part/"), "p_partkey").alias("seed"))
     return capped_lineage(_edges(t), seeds, "UPSTREAM", 1, 20)
 
 
+@query("lineage_totals", f"""
+    WITH {_EDGES_SQL},
+    seeds AS (SELECT 'part/' || p_partkey AS seed FROM part),
+    one AS (SELECT seed, src AS node FROM seeds JOIN edges ON dst = seed),
+    two AS (SELECT seed, src AS node FROM one JOIN edges ON dst = node)
+    SELECT seed, count(node) AS total_all_hops FROM seeds LEFT JOIN (SELECT * FROM one UNION SELECT * FROM two) USING (seed) GROUP BY 1
+""")
+def totals(t: Tables) -> DataFrame:
+    """How many orders and customers stand upstream of every part over all hops."""
+    seeds = t.part.select(F.concat(F.lit("part/"), "p_partkey").alias("seed"))
+    return lineage_totals(_edges(t), seeds, "UPSTREAM")
+
+
 @query("dataset_detail", """
     WITH shown AS (
         SELECT l_orderkey AS urn, string_agg(path || ':' || type, ';' ORDER BY pos, path) AS fields FROM (

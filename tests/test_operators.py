@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -239,11 +240,44 @@ def test_lineage_all_and_cap(spark):
     edges, seeds = frame(spark, "src string, dst string", *EDGES), frame(spark, "seed string", ("a",), ("e",))
     assert rows(lineage.lineage_all(edges, seeds, "DOWNSTREAM"), "node") == [("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "e", 3)]
     capped = lineage.capped_lineage(edges, seeds, "DOWNSTREAM", 2, 2)
-    assert rows(capped.select("seed", "node", "degree", "total_all_hops"), "degree", "node") == [("a", "b", 1, 4), ("a", "c", 1, 4)]
+    assert rows(capped.select("seed", "node", "degree"), "degree", "node") == [("a", "b", 1), ("a", "c", 1)]
+    counted = lineage.capped_lineage(edges, seeds, "DOWNSTREAM", 2, 2, totals=True)
+    assert rows(counted.select("seed", "node", "degree", "total_all_hops"), "degree", "node") == [("a", "b", 1, 4), ("a", "c", 1, 4)]
+    assert rows(lineage.lineage_totals(edges, seeds, "DOWNSTREAM"), "seed") == [("a", 4), ("e", 0)]
     chain = frame(spark, "src int, dst int", *[(i, i + 1) for i in range(20)])
     assert lineage.lineage_all(chain, frame(spark, "seed int", (0,)), "DOWNSTREAM").agg(F.max("degree")).head()[0] == 20
 
 
+@pytest.mark.parametrize("hops", [1, 2, 3, None])
+def test_lineage_of_many_seeds_equals_breadth_first_search(spark, hops):
+    """200 seeds take several words; node 0 is a hub, edges repeat, two have a null end."""
+    rng = random.Random(4)
+    pairs = [(rng.randrange(260), rng.choice((0, rng.randrange(260)))) for _ in range(420)] + [(0, i) for i in range(30)]
+    after: dict = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    expected = set()
+    for seed in range(200):
+        at, seen, degree = {seed}, {seed}, 0
+        while at and degree != hops:
+            at, degree = {b for a in at for b in after.get(a, ())} - seen, degree + 1
+            seen |= at
+            expected |= {(seed, node, degree) for node in at}
+    edges = frame(spark, "src int, dst int", *pairs, (None, 3), (3, None))
+    seeds = frame(spark, "seed int", *[(i,) for i in range(200)], (5,), (None,)).repartition(3)
+    found = [tuple(r) for r in lineage.lineage(edges, seeds, "DOWNSTREAM", hops).select("seed", "node", "degree").collect()]
+    assert sorted(found) == sorted(expected)
+    assert lineage.lineage(edges, seeds.limit(0), "UPSTREAM", hops).count() == 0 == lineage.lineage(edges.limit(0), seeds, "UPSTREAM", hops).count()
+
+
+def test_capped_lineage_walks_no_further(spark, monkeypatch):
+    chain = frame(spark, "src int, dst int", *[(i, i + 1) for i in range(9)])
+    levels = []
+    walk = lineage.walk
+    monkeypatch.setattr(lineage, "walk", lambda *a: levels.append(walk(*a)) or levels[-1])
+    assert lineage.capped_lineage(chain, frame(spark, "seed int", (0,)), "DOWNSTREAM", 2).count() == 2 and len(levels[0]) == 2
+
+
 RAW = "urn string, type string, name string, platform string, properties struct<name:string,displayName:string,description:string,definition:string>"
 
 
