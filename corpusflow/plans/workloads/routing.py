@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import words
 from corpusflow.operators.routing import keyword_hits, route, weighted
 from corpusflow.plans.workloads.base import Tables, query
 
@@ -57,6 +58,42 @@ def route_keywords(t: Tables) -> DataFrame:
     return route(t.spread("conversations"), "text", LANGUAGES).select("conv_id", "turn", "label")
 
 
+_LONG_DICTIONARY = """
+    dictionary AS (
+        SELECT left(keyword, 1) AS label, keyword, (length(keyword) % 3 + 1)::INTEGER AS weight FROM (
+            SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 4)) AS keyword FROM benchmark)
+    )
+"""
+
+
+def _long_dictionary(t: Tables) -> list[tuple[str, str, int]]:
+    """The words of the benchmark's texts, thousands: a dictionary too long for the plan, within the automaton's bound."""
+    found = t.benchmark.select(F.explode(F.filter(words("text"), lambda w: F.length(w) >= 4)).alias("keyword")).distinct()
+    return [(r.keyword[0], r.keyword, len(r.keyword) % 3 + 1) for r in found.orderBy("keyword").collect()]
+
+
+@query("keyword_dictionary", f"""
+    WITH {_LONG_DICTIONARY}
+    SELECT conv_id, turn, label, keyword, weight FROM conversations JOIN dictionary ON contains(lower(text), keyword)
+""")
+def long_hits(t: Tables) -> DataFrame:
+    return keyword_hits(t.spread("conversations").select("conv_id", "turn", "text"), "text", _long_dictionary(t), literals=0)
+
+
+@query("route_dictionary", f"""
+    WITH {_LONG_DICTIONARY},
+    found AS (
+        SELECT conv_id, turn, label, sum(weight) AS score FROM conversations JOIN dictionary ON contains(lower(text), keyword) GROUP BY ALL
+    ),
+    best AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM (
+        SELECT *, max(score) OVER (PARTITION BY conv_id, turn) AS top FROM found) WHERE score = top)
+    SELECT conv_id, turn, coalesce(max(CASE WHEN n = 1 THEN label END), 'ambiguous') AS label
+    FROM conversations LEFT JOIN best USING (conv_id, turn) GROUP BY 1, 2
+""")
+def long_route(t: Tables) -> DataFrame:
+    return route(t.spread("conversations"), "text", _long_dictionary(t), literals=0).select("conv_id", "turn", "label")
+
+
 _QUESTION = """
     CASE p_type
         WHEN 'ECONOMY' THEN 'List my S3 buckets for ' || p_name

@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -8,6 +11,7 @@ from corpusflow.functions import chunking, html, text
 from corpusflow.functions.embedding import embed
 from corpusflow.functions.registry import register
 from corpusflow.functions.vectors import l2_normalize, norm, resolve_space, similarity
+from corpusflow.operators import automaton
 from corpusflow.operators.refresh import is_due, is_stale
 from corpusflow.operators.routing import keyword_hits, route
 
@@ -234,3 +238,50 @@ def test_sql_functions(spark):
     lateral = spark.sql("SELECT id, c.content FROM VALUES (1, 'x y') AS t(id, body), LATERAL chunk_text(t.body) AS c")
     assert [tuple(r) for r in lateral.collect()] == [(1, "x y")]
     assert spark.sql("SELECT size(chunk_array(repeat('w', 600)))").head()[0] == 2
+
+
+WORDS = ["he", "she", "his", "hers", "her", "a", "aa", "aaa", "é", "日本", "本", "ab", "bab", "\U0001f642", "x y"]
+
+
+@pytest.mark.parametrize("segment, states", [(1024, 1 << 18), (3, 6)])
+def test_automaton_finds_what_contains_finds(monkeypatch, segment, states):
+    monkeypatch.setattr(automaton, "SEGMENT", segment)
+    monkeypatch.setattr(automaton, "MOST_STATES", states)
+    rng = random.Random(6)
+    texts = ["", "ushers", "aaaa", "日本語", "no", "x  y x y", *("".join(rng.choice("abhesir xyé日本\U0001f642") for _ in range(rng.randrange(60))) for _ in range(300))]
+    for words in (WORDS, [*WORDS, ""], ["zzz"], []):
+        found = set()
+        for part in automaton.automata(words):
+            found |= set(zip(*(x.tolist() for x in part.found([t.encode() for t in texts]))))
+        assert found == {(i, k) for i, t in enumerate(texts) for k, w in enumerate(words) if w in t}
+
+
+def test_long_and_short_dictionaries_give_the_same_rows(spark):
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("ABhesir xyÉ日本") for _ in range(rng.randrange(80)))) for i in range(100)] + [(100, None), (101, ""), (102, "HERS" * 5000)]
+    df = spark.createDataFrame(rows, "i int, q string")
+    dictionary = [(label, w, n) for n, label in enumerate(("one", "two", "three"), 1) for w in WORDS if (len(w) + n) % 3]
+    short, long = (sorted(map(tuple, keyword_hits(df, "q", dictionary, literals=n).collect())) for n in (10**6, 0))
+    assert short == long and long
+    short, long = (sorted(map(tuple, route(df, "q", dictionary, literals=n).select("i", "label").collect())) for n in (10**6, 0))
+    assert short == long and len({x for _, x in long}) > 1
+
+
+def test_time_does_not_grow_with_the_dictionary():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8)).encode()
+    texts = [b" ".join(word() for _ in range(300)) for _ in range(400)]
+    seconds = {}
+    for n in (50, 5000):
+        found = automaton.Automaton([word() for _ in range(n)])
+        found.found(texts[:10])
+        begin = time.process_time()
+        found.found(texts)
+        seconds[n] = time.process_time() - begin
+    assert seconds[5000] < 4 * seconds[50] + 0.5
+
+
+def test_dictionary_bound(monkeypatch):
+    monkeypatch.setattr(automaton, "MOST_BYTES", 3)
+    with pytest.raises(ValueError):
+        automaton.automata(["ab", "cd"])
