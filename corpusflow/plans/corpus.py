@@ -11,6 +11,7 @@ from corpusflow.functions.fixed_values import MIN_SUCCESS_RATIO
 from corpusflow.operators.refresh import is_platform_skipped, publish_gate
 from corpusflow.operators.urls import cap_pages, fetched_pages, filter_urls, page_docs
 from corpusflow.sources.collections import BUCKETS, read_collection, stale, write_collection
+from corpusflow.sources.partitions import replace_partitions
 from corpusflow.session import cut_lineage
 
 
@@ -26,7 +27,8 @@ def publish_pages(
     """Extract, filter and publish pages; each source is judged by its own share of good pages.
 
     Attempted are a source's distinct allowed URLs (at most `max_pages`), written are those of them that became
-    documents, one per URL. Sources that reach `min_ratio` are switched; the rest keep their live rows.
+    documents, one per URL. The partitions of sources that reach `min_ratio` are replaced; those of the rest stay,
+    unread.
     """
     urls = cap_pages(filter_urls(pages.select("source", "url"), rules), max_pages).withColumn("attempted", F.lit(True))
     docs = cut_lineage(web_documents(pages, rules, base, max_pages).dropDuplicates(["source", "url"]))
@@ -36,12 +38,7 @@ def publish_pages(
     counts = gates.agg(F.sum("attempted"), F.sum("written"), F.count_if((F.col("written") > 0) & F.col("publish"))).first()
     attempted, written, switched = (x or 0 for x in counts)
     if switched:
-        fresh = docs.join(passed, "source", "left_semi")
-        live = read_collection(pages.sparkSession, root)
-        if live is not None:
-            live = live.select(*fresh.columns)
-            fresh = cut_lineage(fresh.unionByName(live.join(passed, "source", "left_anti")))
-        write_collection(fresh, root, keys=["url"])
+        replace_partitions(docs.join(passed, "source", "left_semi"), root, ["source"])
     return {"written": written, "attempted": attempted, "ratio": written / attempted if attempted else 0.0, "published": switched > 0, "switched": switched}
 
 

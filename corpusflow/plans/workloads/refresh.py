@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.fixed_values import WEB_TYPE
 from corpusflow.functions.text import iso_seconds
 from corpusflow.operators.refresh import detect_changes, is_due, is_stale, new_versions, refresh_rollup, reingest
-from corpusflow.plans.refresh import refresh
+from corpusflow.operators.urls import fetched_pages, long_enough, url_fingerprint
+from corpusflow.plans.refresh import refresh, with_markers
 from corpusflow.plans.workloads.base import Tables, query
+from corpusflow.plans.workloads.web import ARTICLE_SQL, DOMAIN_SQL, with_source
 from corpusflow.session import scratch_path
-from corpusflow.sources.collections import read_collection
-from corpusflow.sources.documents import union_sources
 from corpusflow.sources.versions import load_versions, save_versions
 
 NOW = "2024-01-09T12:00:00+00:00"
@@ -187,13 +188,35 @@ def refreshed_corpus(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "refresh")
     sources = _sources(t).withColumn("platform", F.substring_index("platform", "/", -1))
     docs = t.documents.select(F.col("lang").alias("platform"), F.concat_ws("/", "source", "doc_id").alias("path"), "text")
-    first = refresh(t.spark, sources, docs, root, NOW, buckets=8)
+    first = refresh(t.spark, sources, docs, root, NOW)
     second = detect_changes(sources, load_versions(t.spark, f"{root}/versions"), NOW).select("id", F.col("status").alias("again"))
     quiet = (
         first.where("status = 'fetched'").join(second, "id").groupBy("platform")
         .agg(F.bool_and(F.col("again") == "up_to_date").alias("second_run_is_quiet"))
     )
-    # the language collections that were written, at most four
-    written = [read_collection(t.spark, f"{root}/{r.platform}") for r in quiet.select("platform").collect()]
-    n_docs = union_sources(*written).groupBy("platform").agg(F.count_distinct("source").alias("n_docs"))
-    return n_docs.join(quiet, "platform")
+    written = t.spark.read.parquet(f"{root}/chunks").groupBy("platform").agg(F.count_distinct("source").alias("n_docs"))
+    return written.join(quiet, "platform")
+
+
+_MARKER_SQL = "sha256(concat_ws(':', count(*), {}))".format(", ".join(
+    f"CAST(sum(CAST('0x' || substr(sha256(url), {at}, 15) AS BIGINT)) AS VARCHAR)" for at in (1, 16, 31, 46)))
+
+
+@query("url_markers", f"""
+    WITH now AS (SELECT source, {_MARKER_SQL} AS sha FROM (SELECT DISTINCT {DOMAIN_SQL} AS source, url FROM pages) GROUP BY 1),
+    before AS (
+        SELECT source, {_MARKER_SQL} AS sha FROM (SELECT DISTINCT {DOMAIN_SQL} AS source, url FROM pages WHERE length({ARTICLE_SQL}) >= 200) GROUP BY 1
+    )
+    SELECT source AS id, CASE WHEN now.sha IS DISTINCT FROM before.sha THEN 'fetched' ELSE 'up_to_date' END AS status,
+           coalesce(left(before.sha, 10), 'none') AS stored_sha, left(now.sha, 10) AS latest_sha
+    FROM now LEFT JOIN before USING (source)
+""")
+def url_markers(t: Tables) -> DataFrame:
+    """Web sources whose marker is their URL set; the stored one knew only the pages that are long enough."""
+    pages = with_source(t.spread("pages"))
+    none = F.lit(None).cast("string")
+    sources = pages.groupBy(F.col("source").alias("id")).agg(F.count("*").cast("int").alias("written")).select(
+        "id", F.col("id").alias("platform"), F.lit(WEB_TYPE).alias("type"), none.alias("latest"), "written")
+    before = url_fingerprint(long_enough(fetched_pages(pages)))
+    versions = before.select(F.col("source").alias("id"), "sha", F.lit("2024-01-08T12:00:00+00:00").alias("last_ingested"))
+    return detect_changes(with_markers(sources, pages), versions, NOW).select("id", "status", "stored_sha", "latest_sha")

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators.evaluation import first_calls
 from corpusflow.plans.ask import ask
 from corpusflow.plans.corpus import chunk_rows, ingest, publish_pages
+from corpusflow.plans.refresh import refresh
 from corpusflow.plans.score import evaluate
 from corpusflow.sources import collections as store
 from corpusflow.sources.api_definitions import api_def_docs, api_def_ops
@@ -93,7 +95,7 @@ def test_publish_pages(spark, root):
     rules = spark.createDataFrame([("s", ["/2"], None, None)], "source string, robots array<string>, exclude array<string>, include array<string>")
     assert publish_pages(pages, rules, root, "u/", min_ratio=0.8)["published"] is False
     assert publish_pages(pages, rules, root, "u/", min_ratio=0.75)["published"] is True
-    assert sorted(r.name for r in store.read_collection(spark, root).collect()) == ["0.txt", "1.txt", "3.txt"]
+    assert sorted(r.name for r in spark.read.parquet(root).collect()) == ["0.txt", "1.txt", "3.txt"]
 
 
 def test_publish_pages_judges_each_source(spark, root):
@@ -101,11 +103,43 @@ def test_publish_pages_judges_each_source(spark, root):
     rules = spark.createDataFrame([(s, None, None, None) for s in "ab"], "source string, robots array<string>, exclude array<string>, include array<string>")
     first = spark.createDataFrame([("a", "u/a1", body), ("b", "u/b1", body)], schema)
     assert publish_pages(first, rules, root, "u/")["switched"] == 2
+    files = lambda source: sorted(Path(root, f"source={source}").rglob("*.parquet"))
+    before = {source: files(source) for source in "ab"}
     # one good url, four times, of five: its copies do not help it; the other source goes on
     bad = [("b", "u/b2", body)] * 4 + [("b", f"u/stub{i}", "<article>x</article>") for i in range(4)]
     again = spark.createDataFrame([("a", f"u/a{i}", body) for i in range(2, 5)] + bad, schema)
     assert publish_pages(again, rules, root, "u/")["switched"] == 1
-    assert sorted(r.url for r in store.read_collection(spark, root).collect()) == ["u/a2", "u/a3", "u/a4", "u/b1"]
+    assert sorted(r.url for r in spark.read.parquet(root).collect()) == ["u/a2", "u/a3", "u/a4", "u/b1"]
+    assert files("b") == before["b"] and files("a") != before["a"]
+
+
+def test_refresh_replaces_the_touched_platforms_only(spark, root):
+    source = "id string, platform string, type string, latest string, written int, files array<string>"
+    sources = lambda **latest: spark.createDataFrame([(i, i[0], "github_dir", x, 1, [i]) for i, x in latest.items()], source)
+    docs = lambda **t: spark.createDataFrame([(p[0], p, x) for p, x in t.items()], "platform string, path string, text string")
+    content = lambda: {(r.platform, r.source): r.content for r in spark.read.parquet(f"{root}/chunks").collect()}
+    files = lambda platform: sorted(Path(root, "chunks", f"platform={platform}").rglob("*.parquet"))
+    first = refresh(spark, sources(a1="1", b1="1", b2=None, c1="1"), docs(a1="one", b1="two", b2="three"), root, "2024-01-01T00:00:00+00:00")
+    assert {r.id: r.status for r in first.collect()} == {"a1": "fetched", "b1": "fetched", "b2": "network_error", "c1": "fetched"}
+    assert content() == {("a", "a1"): "one", ("b", "b1"): "two", ("b", "b2"): "three"}
+    kept = files("b")
+    # a changed, b is as it was, c changed and has no documents: its chunks, had it any, would stay
+    again = refresh(spark, sources(a1="2", b1="1", c1="2"), docs(a3="four", b1="not read"), root, "2024-01-02T00:00:00+00:00")
+    assert {r.id: r.status for r in again.collect()} == {"a1": "fetched", "b1": "up_to_date", "c1": "fetched"}
+    assert content() == {("a", "a3"): "four", ("b", "b1"): "two", ("b", "b2"): "three"} and files("b") == kept
+    quiet = refresh(spark, sources(a1="2", b1="1", c1="2"), docs(a1="x"), root, "2024-01-03T00:00:00+00:00")
+    assert {r.status for r in quiet.collect()} == {"up_to_date"} and len(content()) == 3
+
+
+def test_refresh_by_url_sets(spark, root):
+    sources = spark.createDataFrame([("w", "p", "web_sitemap", None, 2, ["f"]), ("g", "p", "github_dir", "sha", 1, ["f"])],
+                                    "id string, platform string, type string, latest string, written int, files array<string>")
+    docs = spark.createDataFrame([("p", "d", "text")], "platform string, path string, text string")
+    pages = lambda *urls: spark.createDataFrame([("w", u) for u in urls], "source string, url string")
+    status = lambda urls, day: {r.id: r.status for r in refresh(spark, sources, docs, root, f"2024-01-0{day}T00:00:00+00:00", pages=pages(*urls)).collect()}
+    assert status(["u1", "u2"], 1) == {"w": "fetched", "g": "fetched"}
+    assert status(["u2", "u1", "u1"], 2) == {"w": "up_to_date", "g": "up_to_date"}
+    assert status(["u1"], 3) == {"w": "fetched", "g": "up_to_date"}
 
 
 def test_upsert_keeps_one_row_of_a_repeated_key(spark):
