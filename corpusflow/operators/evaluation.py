@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,34 +106,63 @@ def summarize_eval_rollup(scores: DataFrame) -> DataFrame:
     )
 
 
+def _advances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every case of a sorted partition: how far its sequence is reached after the partition's calls.
+
+    Cases that begin in the partition begin at nothing reached: their map has that one entry. The first case may have
+    begun in an earlier partition, so its map tells for every place reached before the place reached after.
+    """
+    part = TaskContext.get().partitionId()
+    segments, case, where, standing, size = 0, None, {}, {}, 0
+    kind = None
+
+    def closed() -> pa.RecordBatch:
+        reached = [0] * size
+        for place, starts in standing.items():
+            for start in starts:
+                reached[start] = place
+        return pa.RecordBatch.from_arrays(
+            [pa.array([case], kind), pa.array([part], pa.int32()), pa.array([reached], pa.list_(pa.int32()))], ["id", "_part", "_reached"])
+
+    for batch in batches:
+        kind, done = batch.schema.field("id").type, []
+        wanted = batch.column("_want")
+        for row, (case_id, name) in enumerate(zip(batch.column("id").to_pylist(), batch.column("name").to_pylist())):
+            if not segments or case_id != case:
+                if segments:
+                    done.append(closed())
+                want = wanted[row].as_py()
+                case, where = case_id, {}
+                for place, tool in enumerate(want):
+                    where.setdefault(tool, []).append(place)
+                size = 1 if segments else len(want) + 1
+                standing = {start: [start] for start in range(size)}
+                segments += 1
+            for place in reversed(where[name]):  # from the end, so that a call moves each start by one place
+                if place in standing:
+                    standing.setdefault(place + 1, []).extend(standing.pop(place))
+        if done:
+            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+    if segments:
+        yield closed()
+
+
 def sequence_ok(cases: DataFrame, calls: DataFrame) -> DataFrame:
     """Whether the expected tools occur in this order among a case's calls, and there are enough calls.
 
     cases: id, expected_tools_sequence array, min_tool_calls. calls: id, pos, name - one row per call. Calls that their
-    case names are sorted by case and position, and one pass per partition advances through each sequence, taking
-    the earliest call that fits; it holds one case's place at a time, however long sequences and logs are.
+    case names are dealt out by ranges of case and position, so one case with most of the calls is many tasks.
+    Each range gives the map "reached before -> reached after" of its cases, taking the earliest call that fits; the maps
+    of a case, one per range it touches, are composed in order.
     """
     wanted = cases.select("id", F.col("expected_tools_sequence").alias("_want"))
     named = calls.join(wanted, "id").where(F.array_contains("_want", F.col("name"))).select("id", "pos", "name", "_want")
-
-    def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        case, reached = None, 0
-        for batch in batches:
-            ids, out = batch.column("id").to_pylist(), []
-            for case_id, name, want in zip(ids, batch.column("name").to_pylist(), batch.column("_want").to_pylist()):
-                if case_id != case:
-                    if case is not None:
-                        out.append((case, reached))
-                    case, reached = case_id, 0
-                reached += reached < len(want) and want[reached] == name
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], batch.schema.field("id").type), pa.array([n for _, n in out], pa.int32())], ["id", "_reached"])
-            kind = batch.schema.field("id").type
-        if case is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([case], kind), pa.array([reached], pa.int32())], ["id", "_reached"])
-
     kind = cases.schema["id"].dataType.simpleString()
-    walked = named.repartition("id").sortWithinPartitions("id", "pos").mapInArrow(advance, f"id {kind}, _reached int")
+    ranges = named.repartitionByRange("id", "pos").sortWithinPartitions("id", "pos")
+    parts = ranges.mapInArrow(_advances, f"id {kind}, _part int, _reached array<int>")
+    # at most one map per range of the shuffle
+    maps = F.array_sort(F.collect_list(F.struct("_part", "_reached")))
+    walked = parts.groupBy("id").agg(F.aggregate(maps, F.lit(0), lambda at, m: F.get(m["_reached"], at)).alias("_reached"))
     totals = calls.groupBy("id").agg(F.count("*").alias("_calls"))
     complete = F.coalesce("_reached", F.lit(0)) == F.size("expected_tools_sequence")
     return (

@@ -177,6 +177,40 @@ def test_sequence(spark, expected, least, calls, ok):
     assert rows(evaluation.sequence_ok(cases, logged), "id") == [(1, ok)]
 
 
+def test_sequence_of_one_huge_case(spark):
+    """Most calls belong to one case, whose calls lie in many ranges; the rest are small cases around it."""
+    rng = random.Random(9)
+    expected, seqs, logged, lists = {}, [], [], {}
+    for case in (1, 2, 3, 4, 5):
+        want = [rng.choice("abc") for _ in range(rng.randint(0, 6))] + (["z"] * 30 + ["y"] * 3 if case == 3 else [])
+        names = [rng.choice("abcd") for _ in range(rng.randint(0, 8))]
+        if case == 3:
+            names = [rng.choice("abcdz") for _ in range(4000)] + ["y", "q", "y"] + ["a"] * 50 + ["y"] * rng.randint(0, 1)
+        lists[case] = names
+        seqs.append((case, want, rng.randint(0, 3)))
+        logged += [(case, 10 * i, n) for i, n in enumerate(names)]
+        at = 0
+        for n in names:
+            at += at < len(want) and want[at] == n
+        expected[case] = at == len(want) and len(names) >= seqs[-1][2]
+    rng.shuffle(logged)
+    calls = frame(spark, "id int, pos bigint, name string", *logged, (9, 1, "a"), (None, 1, "a"))
+    for least in (0, 1):
+        cases = frame(spark, "id int, expected_tools_sequence array<string>, min_tool_calls int", *seqs[:-1], (5, ["y"] * least, 0))
+        expected[5] = not least or "y" in lists[5]
+        found = evaluation.sequence_ok(cases, calls)
+        assert {r.id: r.seq_ok for r in found.collect()} == expected
+    wanted = frame(spark, "id int, _want array<string>", *[(c, w) for c, w, _ in seqs])
+    named = calls.join(wanted, "id").where(F.array_contains("_want", F.col("name"))).select("id", "pos", "name", "_want")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = named.repartitionByRange("id", "pos").sortWithinPartitions("id", "pos").mapInArrow(evaluation._advances, "id int, _part int, _reached array<int>")
+        assert parts.where("id = 3").count() > 1
+        assert {r.id: r.seq_ok for r in evaluation.sequence_ok(cases, calls).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_missing_args(spark):
     calls = frame(spark, "name string, args map<string,string>", ("t", {"a": "", "b": "1", "c": None}))
     found = evaluation.missing_args(calls, frame(spark, "name string, required array<string>", ("t", ["a", "b", "c", "d"])))
