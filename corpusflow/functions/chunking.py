@@ -45,12 +45,24 @@ def _pack(run: list[Span], size: int, overlap: int) -> Iterator[Span]:
         yield run[first][0], run[-1][1]
 
 
+def _windows(lo: int, hi: int, size: int, overlap: int) -> Iterator[Span]:
+    """What `_pack` makes of single characters."""
+    while hi - lo > size:
+        yield lo, lo + size
+        lo += size - overlap
+    if lo < hi:
+        yield lo, hi
+
+
 def _spans(text: str, lo: int, hi: int, separators: tuple[str, ...], size: int, overlap: int) -> Iterator[Span]:
     used = next(
         (i for i, s in enumerate(separators) if not s or text.find(s, lo, hi) != -1),
         len(separators) - 1,
     )
     finer = separators[used + 1:]
+    if not separators[used] and size > 1:
+        yield from _windows(lo, hi, size, overlap)
+        return
     run: list[Span] = []
     for piece in _pieces(text, lo, hi, separators[used]):
         if piece[1] - piece[0] < size:

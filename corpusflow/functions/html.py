@@ -72,5 +72,11 @@ def _text_udf(convert, doc: str):
     return F.pandas_udf(run, T.StringType()).asNondeterministic()
 
 
+def _each_text(markups: pd.Series) -> pd.Series:
+    return _over(markups, lambda some: [None if x is None else all_text(x) for x in some])
+
+
 html_strip = _text_udf(all_text, "All text nodes, script and style text included.")
 extract_article = _text_udf(article_text, "Readable text inside <article>, one line per block element.")
+#: html_strip of every element of an array
+html_strip_each = F.pandas_udf(_each_text, T.ArrayType(T.StringType())).asNondeterministic()

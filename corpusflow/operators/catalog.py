@@ -77,11 +77,7 @@ def current_version(items: DataFrame, versions: DataFrame) -> DataFrame:
     return items.withColumnRenamed("default_version_id", "version_id").join(versions, ["id", "version_id"])
 
 
-def bounded_children(child: DataFrame, key: str, order: Sequence[str], fields: Column, most: int, name: str) -> DataFrame:
-    """The first `most` children per parent as an ordered array. The cap comes before the collect."""
-    capped = cap_per_group(child, [key], [F.col(c) for c in order], most)
-    listed = F.array_sort(F.collect_list(F.struct(*order, fields.alias("_item"))))
-    return capped.groupBy(key).agg(F.transform(listed, lambda e: e["_item"]).alias(name))
+MOST_VALUES = 1000  # owners, tags or terms listed per dataset
 
 
 def dataset_detail(
@@ -92,25 +88,39 @@ def dataset_detail(
     terms: DataFrame,
     domains: DataFrame,
     most_fields: int = MAX_FIELDS,
+    most_values: int = MOST_VALUES,
 ) -> DataFrame:
     """One nested row per dataset: fields (first 50) and field_count, owners, tags, glossary terms, domain.
 
     datasets: urn, ...; fields: urn, pos, path, type, description; owners: urn, owner, name; tags: urn, tag;
     terms: urn, term; domains: urn, domain struct<urn, name>. Owners without owner are dropped; the domain is
-    null when there is none. Children are aggregated before they meet the parent.
+    null when there is none. Of owners, tags and terms the first `most_values` are listed. The children stand in one
+    table of (urn, kind, item), which is capped and gathered once before it meets the parent.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
-    field = F.struct("path", text("type").alias("type"), text("description").alias("description"))
-    shown = bounded_children(fields, "urn", ["pos", "path"], field, most_fields, "fields")
-    counts = fields.groupBy("urn").agg(F.count("*").alias("field_count"))
-    owned = owners.where(F.col("owner").isNotNull()).groupBy("urn").agg(
-        F.sort_array(F.collect_set(F.struct("owner", text("name").alias("name")))).alias("owners")
+    item = lambda kind, *columns: ["urn", F.lit(kind).alias("kind"), F.array(*[F.col(c).cast("string") if isinstance(c, str) else c for c in columns]).alias("item")]
+    values = (
+        owners.where(F.col("owner").isNotNull()).select(*item("owner", "owner", text(F.col("name"))))
+        .unionByName(tags.where(F.col("tag").isNotNull()).select(*item("tag", "tag")))
+        .unionByName(terms.where(F.col("term").isNotNull()).select(*item("term", "term")))
+    )
+    values = cap_per_group(values.distinct(), ["urn", "kind"], [F.col("item")], most_values)
+    shown = cap_per_group(fields, ["urn"], [F.col("pos"), F.col("path")], most_fields).select(
+        "urn", F.lit("field").alias("kind"), F.array("path", text(F.col("type")), text(F.col("description"))).alias("item"), "pos")
+    tall = values.withColumn("pos", F.lit(None).cast(fields.schema["pos"].dataType)).unionByName(shown)
+    # within the caps: most_fields fields and three times most_values
+    of = lambda kind, *order: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*order))))
+    named = lambda i, *names: F.struct(*[i["item"][n].alias(name) for n, name in enumerate(names)])
+    gathered = tall.groupBy("urn").agg(
+        F.transform(of("field", "pos", "item"), lambda i: named(i, "path", "type", "description")).alias("fields"),
+        F.transform(of("owner", "item"), lambda i: named(i, "owner", "name")).alias("owners"),
+        F.transform(of("tag", "item"), lambda i: i["item"][0]).alias("tags"),
+        F.transform(of("term", "item"), lambda i: i["item"][0]).alias("glossary_terms"),
     )
-    tagged = tags.groupBy("urn").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
-    termed = terms.groupBy("urn").agg(F.sort_array(F.collect_set("term")).alias("glossary_terms"))
-    detail = datasets
-    for child in (shown, counts, owned, tagged, termed, domains):
-        detail = detail.join(child, "urn", "left")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    counts = fields.groupBy("urn").agg(F.count("*").alias("field_count"))
+    detail = datasets.join(gathered.select("urn", *map(some, ("fields", "owners", "tags", "glossary_terms"))), "urn", "left")
+    detail = detail.join(counts, "urn", "left").join(domains, "urn", "left")
     return detail.withColumn("field_count", F.coalesce("field_count", F.lit(0)))
 
 

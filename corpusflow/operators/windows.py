@@ -66,7 +66,7 @@ def with_next(df: DataFrame, group: str, order: str, columns: Sequence[str], blo
     row = F.struct(*columns)
     by_block = Window.partitionBy(group).orderBy("_block")
     steps = cut.select(group, "_block").distinct().withColumn("_to", F.lead("_block").over(by_block))
-    heads = cut.where(F.col("_block") > 0).groupBy(group, F.col("_block").alias("_to")).agg(F.min_by(row, order).alias("_after"))
+    heads = cut.where(F.col(order) >= block_rows).groupBy(group, F.col("_block").alias("_to")).agg(F.min_by(row, order).alias("_after"))
     after = steps.where(F.col("_to").isNotNull()).join(heads, [group, "_to"]).drop("_to")
     inside = Window.partitionBy(group, "_block").orderBy(order)
     paired = cut.withColumn("_next", F.lead(row).over(inside)).join(after, [group, "_block"], "left")

@@ -63,23 +63,29 @@ def chunk_roundtrip(t: Tables) -> DataFrame:
     return _docs(t).select("doc_id", chunk_text("text").alias("chunks")).select("doc_id", F.md5(whole).alias("hash"))
 
 
-@query("chunk_ids", f"""
-    SELECT {_PATH} || '::' || (idx - 1) AS id, (idx - 1)::INTEGER AS chunk_index, md5(piece) AS hash
-    FROM (SELECT *, unnest(string_split(text, chr(10))) AS piece,
-                 generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents)
-""")
+#: Chunks at character boundaries: 512 characters, each next chunk 448 further, stripped, empty ones left out.
+_WINDOWS_SQL = f"""
+    windows AS (
+        SELECT path, k, regexp_replace(substr(text, k * 448 + 1, 512), '^\\s+|\\s+$', '', 'g') AS content
+        FROM (SELECT {_PATH} AS path, text, unnest(range(greatest(1, 1 + ceil((length(text) - 512) / 448.0)::BIGINT))) AS k FROM documents)
+    ),
+    chunks AS (SELECT path, content, (row_number() OVER (PARTITION BY path ORDER BY k) - 1)::INTEGER AS chunk_index FROM windows WHERE content <> '')
+"""
+
+
+def _character_chunks(t: Tables) -> DataFrame:
+    """The chunker with its last separator only, where SQL can follow it."""
+    return explode_chunks(_docs(t).select("path", "text"), "path", "text", separators=("",))
+
+
+@query("chunk_ids", f"WITH {_WINDOWS_SQL} SELECT path || '::' || chunk_index AS id, chunk_index, md5(content) AS hash FROM chunks")
 def chunk_ids(t: Tables) -> DataFrame:
-    pieces = _docs(t).select("path", F.posexplode(F.split("text", "\n")).alias("chunk_index", "piece"))
-    return pieces.select(F.concat_ws("::", "path", "chunk_index").alias("id"), "chunk_index", F.md5("piece").alias("hash"))
+    return _character_chunks(t).select("id", "chunk_index", F.md5("content").alias("hash"))
 
 
-@query("ingest_report", f"""
-    SELECT path, count(*) AS n FROM (
-        SELECT {_PATH} AS path, unnest(string_split(text, chr(10))) AS piece FROM documents
-    ) GROUP BY ROLLUP (path)
-""")
+@query("ingest_report", f"WITH {_WINDOWS_SQL} SELECT path, count(*) AS n FROM chunks GROUP BY ROLLUP (path)")
 def report(t: Tables) -> DataFrame:
-    return ingest_report(_docs(t).select("path", F.explode(F.split("text", "\n"))))
+    return ingest_report(_character_chunks(t))
 
 
 @query("ingested_chunks", f"""

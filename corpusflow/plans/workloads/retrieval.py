@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.embedding import embed
 from corpusflow.functions.vectors import distance, dot, l2_normalize, norm, similarity
+from corpusflow.operators.idf import embed_idf, fit_idf, load_idf, save_idf
 from corpusflow.operators.retrieval import build_context, count_above_floor, rag_sources, retrieve
 from corpusflow.operators.vector_index import build_index
 from corpusflow.plans.ask import ask
 from corpusflow.plans.workloads.base import Tables, query
 from corpusflow.plans.workloads.routing import LANGUAGE_VALUES, LANGUAGES
+from corpusflow.session import scratch_path
 
 DIMS = 64
 
@@ -212,7 +214,10 @@ _EMBED = """
     FROM documents LEFT JOIN weights ON id = doc_id GROUP BY 1
 """)
 def embed_docs(t: Tables) -> DataFrame:
-    v = t.spread("documents").select("doc_id", embed(F.col("text"), DIMS).alias("v"))
+    return _described(t.spread("documents").select("doc_id", embed(F.col("text"), DIMS).alias("v")))
+
+
+def _described(v: DataFrame) -> DataFrame:
     position = F.sequence(F.lit(1), F.size("v"))
     return v.select(
         "doc_id", F.size("v").alias("dims"), F.size(F.filter("v", lambda x: x != 0)).alias("filled"),
@@ -220,6 +225,26 @@ def embed_docs(t: Tables) -> DataFrame:
     )
 
 
+@query("embed_docs_idf", f"""
+    WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents),
+    words AS (
+        SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS w FROM texts
+    ),
+    idf AS (SELECT w, ln((1 + (SELECT count(*) FROM texts)) / (1.0 + count(DISTINCT id))) + 1 AS f FROM words GROUP BY 1),
+    sums AS (SELECT id, ('0x' || left(md5(w), 8))::BIGINT % 64 AS b, sum(f) AS s FROM words JOIN idf USING (w) GROUP BY ALL),
+    weights AS (SELECT id, b, (s / sqrt(sum(s * s) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS w FROM sums)
+    SELECT doc_id, 64 AS dims, count(b)::INTEGER AS filled, coalesce(round(sum(w * w), 4), 0) AS length,
+           coalesce(round(sum(w * (b + 1)), 2), 0) AS weighted
+    FROM documents LEFT JOIN weights ON id = doc_id GROUP BY 1
+""")
+def embed_with_idf(t: Tables) -> DataFrame:
+    """Fit the weights over the documents, store them, and embed the documents with the stored model."""
+    path = scratch_path(t.spark, "idf")
+    docs = t.spread("documents").select("doc_id", "text")
+    save_idf(fit_idf(docs), path)
+    return _described(embed_idf(docs, load_idf(t.spark, path), "doc_id", dims=DIMS).withColumnRenamed("embedding", "v"))
+
+
 @query("ask", f"""
     WITH texts AS (
         SELECT 'q' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'd', doc_id, text FROM documents

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import time
 
@@ -11,7 +12,7 @@ from corpusflow.functions import chunking, html, text
 from corpusflow.functions.embedding import embed
 from corpusflow.functions.registry import register
 from corpusflow.functions.vectors import l2_normalize, norm, resolve_space, similarity
-from corpusflow.operators import automaton
+from corpusflow.operators import automaton, idf
 from corpusflow.operators.refresh import is_due, is_stale
 from corpusflow.operators.routing import keyword_hits, route
 
@@ -285,3 +286,29 @@ def test_dictionary_bound(monkeypatch):
     monkeypatch.setattr(automaton, "MOST_BYTES", 3)
     with pytest.raises(ValueError):
         automaton.automata(["ab", "cd"])
+
+
+@given(st.integers(0, 400), st.integers(2, 40), st.data())
+@settings(max_examples=60, deadline=None)
+def test_character_windows_are_packed_single_characters(length, size, data):
+    overlap = data.draw(st.integers(0, size - 1))
+    pieces = [(i, i + 1) for i in range(3, 3 + length)]
+    assert list(chunking._windows(3, 3 + length, size, overlap)) == list(chunking._pack(pieces, size, overlap))
+
+
+def test_idf_model_and_embedding(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the cat the"), (2, "The dog"), (3, ""), (4, None), (5, "the")], "i int, text string")
+    model = idf.fit_idf(docs)
+    weights = {r.word: r.idf for r in model.collect()}
+    assert weights == {w: pytest.approx(np.log(6 / (1 + df)) + 1) for w, df in (("the", 3), ("cat", 1), ("dog", 1), (None, 0))}
+    idf.save_idf(model, str(tmp_path / "idf"))
+    asked = docs.union(spark.createDataFrame([(6, "unseen the")], "i int, text string"))
+    found = {r.i: np.array(r.embedding) for r in idf.embed_idf(asked, idf.load_idf(spark, str(tmp_path / "idf")), "i", dims=16).collect()}
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16
+    for i, words in ((1, ["the", "cat", "the"]), (2, ["the", "dog"]), (3, []), (4, []), (5, ["the"]), (6, ["unseen", "the"])):
+        vector = np.zeros(16)
+        for w in words:
+            vector[place(w)] += weights.get(w, weights[None])
+        length = np.linalg.norm(vector)
+        assert np.allclose(found[i], vector / (length or 1), atol=1e-6)
+    assert idf.embed_idf(docs.limit(0), idf.fit_idf(docs.limit(0)), "i").count() == 0

@@ -350,6 +350,18 @@ def test_dataset_detail_caps_fields_and_drops_owners(spark):
     assert found["v"].field_count == 0 and found["v"].domain is None
 
 
+def test_dataset_detail_caps_every_list(spark):
+    empty = lambda schema: frame(spark, schema)
+    found = catalog.dataset_detail(
+        frame(spark, "urn string", ("u",)), empty("urn string, pos int, path string, type string, description string"),
+        frame(spark, "urn string, owner string, name string", *[("u", f"o{i}", f"n{i}") for i in (3, 1, 2, 1)]),
+        frame(spark, "urn string, tag string", *[("u", f"t{i % 5}") for i in range(50)], ("u", None)),
+        frame(spark, "urn string, term string", ("other", "g")), empty("urn string, domain struct<urn:string,name:string>"), most_values=2,
+    ).head()
+    assert [tuple(o) for o in found.owners] == [("o1", "n1"), ("o2", "n2")] and found.tags == ["t0", "t1"]
+    assert found.fields is None and found.glossary_terms is None and found.field_count == 0
+
+
 def test_add_tags_is_idempotent(spark):
     have = frame(spark, "resource_urn string, tag_urn string", ("r", "urn:li:tag:A"))
     new = frame(spark, "resource_urn string, tag_urn string", ("r", "PII"), ("r", "urn:li:tag:A"))

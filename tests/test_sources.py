@@ -277,3 +277,13 @@ def test_turn_log(spark, tmp_path):
     assert read("2024-01-02").startswith("# Turn history — 2024-01-02\n\n---\n\n## #3")
     write_turn_markdown(turns, str(tmp_path / "rendered"))
     assert spark.read.parquet(str(tmp_path / "rendered")).count() == 3
+
+
+def test_two_definitions_of_one_service_stay_apart(spark):
+    one = '{"operations": {"B": {"documentation": "<p>b</p>", "input": {"shape": "S"}}, "A": {}}, "shapes": {"S": {"required": ["x"]}}}'
+    two = '{"operations": {"C": {"http": {"method": "GET", "requestUri": "/c"}}}}'
+    df = spark.createDataFrame([("s", one), ("s", two), ("t", "not json"), ("u", '{"metadata": {}}'), ("v", None)], "service string, json string")
+    texts = sorted(r.text for r in api_def_docs(df).where("service = 's'").collect())
+    assert texts == ["# S - API Reference\n\n## A\n\n## B\nRequired params: x\nb\n", "# S - API Reference\n\n## C\nHTTP: GET /c\n"]
+    assert sorted(r.operation for r in api_def_ops(df).collect()) == ["A", "B", "C"]
+    assert "Exchange" not in api_def_docs(df)._jdf.queryExecution().executedPlan().toString()
