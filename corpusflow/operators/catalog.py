@@ -94,33 +94,35 @@ def dataset_detail(
 
     datasets: urn, ...; fields: urn, pos, path, type, description; owners: urn, owner, name; tags: urn, tag;
     terms: urn, term; domains: urn, domain struct<urn, name>. Owners without owner are dropped; the domain is
-    null when there is none. Of owners, tags and terms the first `most_values` are listed. The children stand in one
-    table of (urn, kind, item), which is capped and gathered once before it meets the parent.
+    null when there is none. Of owners, tags and terms the first `most_values` are listed; they stand in one table of
+    (urn, kind, a, b), which is capped and gathered once before it meets the parent.
     """
     text = lambda c: F.coalesce(c, F.lit(""))
-    item = lambda kind, *columns: ["urn", F.lit(kind).alias("kind"), F.array(*[F.col(c).cast("string") if isinstance(c, str) else c for c in columns]).alias("item")]
+    value = lambda df, kind, name, second: df.where(F.col(name).isNotNull()).select(
+        "urn", F.lit(kind).cast("byte").alias("kind"), F.col(name).cast("string").alias("a"), second.alias("b"))
     values = (
-        owners.where(F.col("owner").isNotNull()).select(*item("owner", "owner", text(F.col("name"))))
-        .unionByName(tags.where(F.col("tag").isNotNull()).select(*item("tag", "tag")))
-        .unionByName(terms.where(F.col("term").isNotNull()).select(*item("term", "term")))
+        value(owners, 0, "owner", text(F.col("name"))).unionByName(value(tags, 1, "tag", F.lit("")))
+        .unionByName(value(terms, 2, "term", F.lit("")))
     )
-    values = cap_per_group(values.distinct(), ["urn", "kind"], [F.col("item")], most_values)
-    shown = cap_per_group(fields, ["urn"], [F.col("pos"), F.col("path")], most_fields).select(
-        "urn", F.lit("field").alias("kind"), F.array("path", text(F.col("type")), text(F.col("description"))).alias("item"), "pos")
-    tall = values.withColumn("pos", F.lit(None).cast(fields.schema["pos"].dataType)).unionByName(shown)
-    # within the caps: most_fields fields and three times most_values
-    of = lambda kind, *order: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*order))))
-    named = lambda i, *names: F.struct(*[i["item"][n].alias(name) for n, name in enumerate(names)])
-    gathered = tall.groupBy("urn").agg(
-        F.transform(of("field", "pos", "item"), lambda i: named(i, "path", "type", "description")).alias("fields"),
-        F.transform(of("owner", "item"), lambda i: named(i, "owner", "name")).alias("owners"),
-        F.transform(of("tag", "item"), lambda i: i["item"][0]).alias("tags"),
-        F.transform(of("term", "item"), lambda i: i["item"][0]).alias("glossary_terms"),
-    )
-    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    values = cap_per_group(values.distinct(), ["urn", "kind"], [F.col("a"), F.col("b")], most_values)
+    # three times most_values at most
+    listed = values.groupBy("urn").agg(F.array_sort(F.collect_list(F.struct("kind", "a", "b"))).alias("_values"))
+
+    def of(kind: int, made, name: str) -> Column:
+        found = F.transform(F.filter("_values", lambda v: v["kind"] == kind), made)
+        return F.when(F.size(found) > 0, found).alias(name)
+
+    gathered = listed.select(
+        "urn", of(0, lambda v: F.struct(v["a"].alias("owner"), v["b"].alias("name")), "owners"),
+        of(1, lambda v: v["a"], "tags"), of(2, lambda v: v["a"], "glossary_terms"))
+    field = F.struct("path", text(F.col("type")).alias("type"), text(F.col("description")).alias("description"))
+    shown = cap_per_group(fields, ["urn"], [F.col("pos"), F.col("path")], most_fields)
+    shown = shown.groupBy("urn").agg(F.array_sort(F.collect_list(F.struct("pos", "path", field.alias("_item")))).alias("_fields"))
+    shown = shown.select("urn", F.transform("_fields", lambda f: f["_item"]).alias("fields"))
     counts = fields.groupBy("urn").agg(F.count("*").alias("field_count"))
-    detail = datasets.join(gathered.select("urn", *map(some, ("fields", "owners", "tags", "glossary_terms"))), "urn", "left")
-    detail = detail.join(counts, "urn", "left").join(domains, "urn", "left")
+    detail = datasets
+    for part in (shown, counts, gathered, domains):
+        detail = detail.join(part, "urn", "left")
     return detail.withColumn("field_count", F.coalesce("field_count", F.lit(0)))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,61 +106,60 @@ def summarize_eval_rollup(scores: DataFrame) -> DataFrame:
 
 
 def _advances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every case of a sorted partition: how far its sequence is reached after the partition's calls.
+    """For every (case, block) of a sorted partition the map "reached before -> reached after" of its calls."""
+    case, where, standing, size, kind = None, {}, {}, 0, None
+    done: list[tuple] = []
 
-    Cases that begin in the partition begin at nothing reached: their map has that one entry. The first case may have
-    begun in an earlier partition, so its map tells for every place reached before the place reached after.
-    """
-    part = TaskContext.get().partitionId()
-    segments, case, where, standing, size = 0, None, {}, {}, 0
-    kind = None
-
-    def closed() -> pa.RecordBatch:
+    def close() -> None:
         reached = [0] * size
         for place, starts in standing.items():
             for start in starts:
                 reached[start] = place
-        return pa.RecordBatch.from_arrays(
-            [pa.array([case], kind), pa.array([part], pa.int32()), pa.array([reached], pa.list_(pa.int32()))], ["id", "_part", "_reached"])
+        done.append((*case, reached))
+
+    def written() -> pa.RecordBatch:
+        columns = [pa.array(list(x), t) for x, t in zip(zip(*done), (kind, pa.int64(), pa.list_(pa.int32())))]
+        done.clear()
+        return pa.RecordBatch.from_arrays(columns, ["id", "_block", "_reached"])
 
     for batch in batches:
-        kind, done = batch.schema.field("id").type, []
-        wanted = batch.column("_want")
-        for row, (case_id, name) in enumerate(zip(batch.column("id").to_pylist(), batch.column("name").to_pylist())):
-            if not segments or case_id != case:
-                if segments:
-                    done.append(closed())
+        kind, wanted = batch.schema.field("id").type, batch.column("_want")
+        rows = zip(batch.column("id").to_pylist(), batch.column("_block").to_pylist(), batch.column("name").to_pylist())
+        for row, (case_id, block, name) in enumerate(rows):
+            if case != (case_id, block):
+                if case is not None:
+                    close()
                 want = wanted[row].as_py()
-                case, where = case_id, {}
+                case, where, size = (case_id, block), {}, len(want) + 1
                 for place, tool in enumerate(want):
                     where.setdefault(tool, []).append(place)
-                size = 1 if segments else len(want) + 1
                 standing = {start: [start] for start in range(size)}
-                segments += 1
             for place in reversed(where[name]):  # from the end, so that a call moves each start by one place
                 if place in standing:
                     standing.setdefault(place + 1, []).extend(standing.pop(place))
         if done:
-            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-    if segments:
-        yield closed()
+            yield written()
+    if case is not None:
+        close()
+        yield written()
 
 
-def sequence_ok(cases: DataFrame, calls: DataFrame) -> DataFrame:
+def sequence_ok(cases: DataFrame, calls: DataFrame, block_calls: int = 4096) -> DataFrame:
     """Whether the expected tools occur in this order among a case's calls, and there are enough calls.
 
-    cases: id, expected_tools_sequence array, min_tool_calls. calls: id, pos, name - one row per call. Calls that their
-    case names are dealt out by ranges of case and position, so one case with most of the calls is many tasks.
-    Each range gives the map "reached before -> reached after" of its cases, taking the earliest call that fits; the maps
-    of a case, one per range it touches, are composed in order.
+    cases: id, expected_tools_sequence array, min_tool_calls. calls: id, pos (an ordinal), name - one row per call. Calls
+    that their case names are dealt out by case and block of positions, so one case with most of the calls is many
+    tasks. Each block gives its map "reached before -> reached after", taking the earliest call that fits; the maps of a
+    case are composed in the order of the blocks.
     """
     wanted = cases.select("id", F.col("expected_tools_sequence").alias("_want"))
-    named = calls.join(wanted, "id").where(F.array_contains("_want", F.col("name"))).select("id", "pos", "name", "_want")
+    named = calls.join(wanted, "id").where(F.array_contains("_want", F.col("name"))).select(
+        "id", F.floor(F.col("pos") / block_calls).alias("_block"), "pos", "name", "_want")
     kind = cases.schema["id"].dataType.simpleString()
-    ranges = named.repartitionByRange("id", "pos").sortWithinPartitions("id", "pos")
-    parts = ranges.mapInArrow(_advances, f"id {kind}, _part int, _reached array<int>")
-    # at most one map per range of the shuffle
-    maps = F.array_sort(F.collect_list(F.struct("_part", "_reached")))
+    blocks = named.repartition("id", "_block").sortWithinPartitions("id", "_block", "pos")
+    parts = blocks.mapInArrow(_advances, f"id {kind}, _block long, _reached array<int>")
+    # one map per block of calls
+    maps = F.array_sort(F.collect_list(F.struct("_block", "_reached")))
     walked = parts.groupBy("id").agg(F.aggregate(maps, F.lit(0), lambda at, m: F.get(m["_reached"], at)).alias("_reached"))
     totals = calls.groupBy("id").agg(F.count("*").alias("_calls"))
     complete = F.coalesce("_reached", F.lit(0)) == F.size("expected_tools_sequence")

@@ -70,8 +70,18 @@ def walk(edges: DataFrame, numbered: DataFrame, direction: str, max_hops: int |
 def _places(levels: DataFrame) -> DataFrame:
     """Rows of one bit each: the level's columns, word and bit."""
     kept = [c for c in levels.columns if c != "bits"]
-    set_bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("bits").bitwiseAND(_bit(i)) != 0)
-    return levels.select(*kept, F.explode(set_bits).alias("bit"))
+    every = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("bits").bitwiseAND(_bit(i)) != 0)
+    # most words of a sparse walk hold one bit, whose place is the number of bits below it
+    lone = F.when(F.col("bits") < 0, 63).otherwise(F.bit_count(F.col("bits") - F.when(F.col("bits") < 0, 0).otherwise(1)))
+    places = F.when(F.bit_count("bits") == 1, F.array(lone.cast("int"))).otherwise(every)
+    return levels.select(*kept, F.explode(places).alias("bit"))
+
+
+def _one_hop(edges: DataFrame, seeds: DataFrame, direction: str) -> DataFrame:
+    """A single hop meets each edge once: pairs need no bits."""
+    ways = _oriented(edges, direction).withColumnRenamed("src", "seed")
+    met = seeds.where("seed IS NOT NULL").select("seed").distinct().join(ways, "seed").where("seed <> dst")
+    return met.select("seed", F.col("dst").alias("node")).distinct().withColumn("degree", F.lit(1))
 
 
 def _pairs(levels: list[DataFrame], numbered: DataFrame, like: DataFrame) -> DataFrame:
@@ -87,6 +97,8 @@ def lineage(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM", max
 
     edges: src, dst, pointing downstream; seeds: seed. A node is expanded once per seed, so cycles end.
     """
+    if max_hops == 1:
+        return _one_hop(edges, seeds, direction)
     numbered = number_seeds(seeds)
     return _pairs(walk(edges, numbered, direction, max_hops), numbered, seeds)
 
@@ -116,7 +128,9 @@ def capped_lineage(
 
     With ``totals`` the walk goes on over all hops and adds total_all_hops.
     """
+    order = [F.col("degree"), F.col("node")]
+    if not totals:
+        return cap_per_group(lineage(edges, seeds, direction, max_hops), ["seed"], order, count)
     numbered = number_seeds(seeds)
-    levels = walk(edges, numbered, direction, None if totals else max_hops)
-    near = cap_per_group(_pairs(levels[:max_hops], numbered, seeds), ["seed"], [F.col("degree"), F.col("node")], count)
-    return near.join(_totals(levels, numbered), "seed") if totals else near
+    levels = walk(edges, numbered, direction, None)
+    return cap_per_group(_pairs(levels[:max_hops], numbered, seeds), ["seed"], order, count).join(_totals(levels, numbered), "seed")

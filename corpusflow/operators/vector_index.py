@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,15 @@ def fit_index(collection: DataFrame, *, keys: Sequence[str] = ("platform",), spa
     return sample.select(*keys, "id", "vec", "_lists", "_place").groupBy(*keys).applyInArrow(fit, schema)
 
 
-def _meet(df: DataFrame, vec: str, by: str, centroids: DataFrame, keys: list[str], cells_of: Callable) -> DataFrame:
+def _collected(centroids: DataFrame) -> pa.Table | None:
+    """The centroids, if they are few enough to travel with the tasks."""
+    first = centroids.select(F.size("centroid")).head()
+    most = BROADCAST_BYTES // (8 * max(1, first[0] if first else 1))
+    held = centroids.limit(most + 1).toArrow()
+    return held if held.num_rows <= most else None
+
+
+def _meet(df: DataFrame, vec: str, by: str, centroids: DataFrame, held: pa.Table | None, keys: list[str], cells_of: Callable) -> DataFrame:
     """Rows with ``cell``, once for each cell that ``cells_of`` (vectors, centroids, weights -> row numbers, cells) names."""
     columns = df.columns
     schema = T.StructType([*(df.schema[c] for c in columns), T.StructField("cell", T.IntegerType())])
@@ -115,12 +124,7 @@ def _meet(df: DataFrame, vec: str, by: str, centroids: DataFrame, keys: list[str
         arrays = [taken.column(c).cast(out.field(c).type) for c in columns]
         return [*arrays, pa.array(cells[found], pa.int32())]
 
-    first = centroids.select(F.size("centroid")).head()
-    if first is None:
-        return df.sparkSession.createDataFrame([], schema)
-    most = BROADCAST_BYTES // (8 * max(1, first[0]))
-    held = centroids.limit(most + 1).toArrow()
-    if held.num_rows <= most:
+    if held is not None:
         of_key: dict[tuple, list[int]] = {}
         for i, key in enumerate(zip(*[held[c].to_pylist() for c in keys])):
             of_key.setdefault(key, []).append(i)
@@ -157,6 +161,10 @@ class VectorIndex:
     keys: list[str]
     space: str
 
+    @cached_property
+    def held(self) -> pa.Table | None:
+        return _collected(self.centroids)
+
     def save(self, path: str) -> None:
         """Centroids, and rows ordered by key and cell, so that a search reads the row groups of its cells only."""
         self.centroids.write.parquet(f"{path}/centroids")
@@ -184,16 +192,17 @@ class VectorIndex:
             return (np.concatenate(row), np.concatenate(cell)) if row else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
         asked = questions.select("qid", *self.keys, "qvec").dropna(subset=["qvec", *self.keys])
-        return _meet(asked, "qvec", "qid", self.centroids, self.keys, nearest)
+        return _meet(asked, "qvec", "qid", self.centroids, self.held, self.keys, nearest)
 
     def search(self, questions: DataFrame, *, k: int = TOP_K, floor: float = SCORE_FLOOR, share: float = SHARE,
                skip_self: bool = False, broadcast_bytes: int = BROADCAST_BYTES, **grid) -> DataFrame:
         """The k best rows of the probed cells: (qid, id, score, rank)."""
         asked, rows, by = self.probes(questions, share), self.rows, [*self.keys, "cell"]
         schema = _result_schema(asked, rows, False)
-        first = asked.select(F.size("qvec")).head() if broadcast_bytes else None
-        if first is not None:
-            most = broadcast_bytes // (8 * max(1, first[0]))
+        first = self.centroids.select(F.size("centroid")).head() if self.held is None else None
+        dims = first[0] if first else len(self.held["centroid"][0]) if self.held else 0
+        if broadcast_bytes and dims:
+            most = broadcast_bytes // (8 * dims)
             held = asked.limit(most + 1).toArrow()
             if held.num_rows <= most:
                 cells = held["cell"].unique().to_pylist()
@@ -217,4 +226,6 @@ def build_index(collection: DataFrame, *, keys: Sequence[str] = ("platform",), s
         own = [_nearness(_directions(vectors[a : a + step], space), centres, space).argmax(axis=1) for a in range(0, len(vectors), step)]
         return np.arange(len(vectors)), np.concatenate(own) if own else np.zeros(0, np.int64)
 
-    return VectorIndex(centroids, _meet(rows, "vec", "id", centroids, keys, nearest), keys, space)
+    index = VectorIndex(centroids, rows, keys, space)
+    index.rows = _meet(rows, "vec", "id", centroids, index.held, keys, nearest)
+    return index

@@ -187,7 +187,7 @@ def refreshed_corpus(t: Tables) -> DataFrame:
     """A first refresh of four language collections, then a second one that finds every fetched source unchanged."""
     root = scratch_path(t.spark, "refresh")
     sources = _sources(t).withColumn("platform", F.substring_index("platform", "/", -1))
-    docs = t.documents.select(F.col("lang").alias("platform"), F.concat_ws("/", "source", "doc_id").alias("path"), "text")
+    docs = t.spread("documents").select(F.col("lang").alias("platform"), F.concat_ws("/", "source", "doc_id").alias("path"), "text")
     first = refresh(t.spark, sources, docs, root, NOW)
     second = detect_changes(sources, load_versions(t.spark, f"{root}/versions"), NOW).select("id", F.col("status").alias("again"))
     quiet = (

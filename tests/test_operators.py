@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -200,15 +201,10 @@ def test_sequence_of_one_huge_case(spark):
         expected[5] = not least or "y" in lists[5]
         found = evaluation.sequence_ok(cases, calls)
         assert {r.id: r.seq_ok for r in found.collect()} == expected
-    wanted = frame(spark, "id int, _want array<string>", *[(c, w) for c, w, _ in seqs])
-    named = calls.join(wanted, "id").where(F.array_contains("_want", F.col("name"))).select("id", "pos", "name", "_want")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        parts = named.repartitionByRange("id", "pos").sortWithinPartitions("id", "pos").mapInArrow(evaluation._advances, "id int, _part int, _reached array<int>")
-        assert parts.where("id = 3").count() > 1
-        assert {r.id: r.seq_ok for r in evaluation.sequence_ok(cases, calls).collect()} == expected
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for block in (1, 70, 10**6):
+        assert {r.id: r.seq_ok for r in evaluation.sequence_ok(cases, calls, block).collect()} == expected
+    plan = evaluation.sequence_ok(cases, calls)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(id#\w+, _block#", plan)
 
 
 def test_missing_args(spark):
