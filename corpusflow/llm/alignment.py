@@ -23,8 +23,6 @@ on unchanged, null included; other columns are left out.
 from __future__ import annotations
 
 import hashlib
-import json
-import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -34,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_tokens import ByteTokens
 from .common import query, stored, table
 from .packing import _BEFORE_BLANK, _CLOSE, _Places
 
@@ -41,59 +40,6 @@ CACHED = 300_000  # pieces of at most LONG characters
 LONG = 100
 STRETCH = 100_000  # pieces that are aligned at once
 JOINED = 100  # pieces encoded as one text
-_LONG_RUN = re.compile(r"\s{5000}")
-
-
-def _byte_signs() -> dict[str, int]:
-    """The signs that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    signs = {chr(b): b for b in plain}
-    signs.update({chr(0x100 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))})
-    return signs
-
-
-class ByteTokens:
-    """A byte-level tokenizer file: token bytes by id, and ids of texts.
-
-    If the merges are in the order of their ids, as usual, the ranks alone encode, which is several times faster; texts
-    with very long runs of white space, and other files, go to the file's own tokenizer. Special tokens are plain text.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.path, self._slow = path, None
-        with open(path, encoding="utf-8") as file:
-            held = json.load(file)
-        signs = _byte_signs()
-        special = {x["content"] for x in held["added_tokens"]}
-        vocabulary = {x: i for x, i in held["model"]["vocab"].items() if x not in special}
-        spelled = {bytes(signs[c] for c in x): i for x, i in vocabulary.items()}
-        self.bytes = [b""] * (max(spelled.values()) + 1)
-        for x, i in spelled.items():
-            self.bytes[i] = x
-        merged = ["".join(x if isinstance(x, list) else x.split(" ")) for x in held["model"]["merges"]]
-        ordered = [vocabulary[x] for x in merged] == sorted(i for x, i in vocabulary.items() if len(x) > 1)
-        pre = held["pre_tokenizer"] or {}
-        self._ranks = None
-        if ordered and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not held["normalizer"]:
-            import tiktoken
-
-            # Fixed value: the pattern of byte-level pre-tokenization.
-            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            self._ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=spelled, special_tokens={})
-        self._load = Tokenizer.from_file
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self._ranks is None:
-            return self._whole(texts)
-        return [self._whole([x])[0] if len(x) > 5000 and _LONG_RUN.search(x) else self._ranks.encode_ordinary(x) for x in texts]
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        if self._slow is None:
-            self._slow = self._load(self.path)
-            self._slow.encode_special_tokens = True
-        return [x.ids for x in self._slow.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class PieceTokens:

@@ -16,6 +16,7 @@ empty table gives no pieces. Of the input's columns the pieces carry the id alon
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections import deque
@@ -28,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_tokens import ByteTokens
 from .common import query, table
 
 #: A white-space character right before a blank; everything that either pattern language counts as white space.
 _CLOSE = [chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= )")
 CACHED = 300_000  # pieces
+CACHED_CHARS = 16 << 20  # of all pieces, whatever their length
 _JOINED = 50  # pieces encoded as one text
 
 
@@ -56,12 +59,11 @@ class Encoder:
     """
 
     def __init__(self, path: str, spans: bool = False, cached: int = CACHED) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spans, self.cached = Tokenizer.from_file(path), spans, cached
+        self.ranks = None if spans else ByteTokens(path, special=True)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.rank = np.full(max(vocabulary.values()) + 1, 3, np.int8)
         self.blank = np.zeros(len(self.rank), bool)
@@ -88,10 +90,14 @@ class Encoder:
         self.ids = array("I")
         self.start, self.size = array("q"), array("q")  # of each place's ids
         self.first, self.stop = array("i"), array("i")  # character spans from the piece's start
+        self.length = array("i")  # characters of each place's piece
+        self.chars = 0  # of all keys
 
-    def _encode(self, texts: list[str]) -> list:
-        encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-        return encode(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
+        """Ids, and character spans if asked for."""
+        if self.spans:
+            return [(x.ids, x.offsets) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [(x, ()) for x in self.ranks.encode(texts)]
 
     def _learn(self) -> None:
         """Encode the new keys: pieces without their blank, or whole pieces marked by a leading blank."""
@@ -102,8 +108,8 @@ class Encoder:
         chunks = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
         for a in range(0, len(chunks), 200):
             some = chunks[a : a + 200]
-            for chunk, found in zip(some, self._encode([" " + " ".join([fresh[i] for i in x]) for x in some])):
-                ids = np.array(found.ids, np.uint32)
+            for chunk, (found, offsets) in zip(some, self._encode([" " + " ".join([fresh[i] for i in x]) for x in some])):
+                ids = np.array(found, np.uint32)
                 begin = np.flatnonzero(self.blank[ids])
                 if len(begin) != len(chunk):
                     single += [(i, " " + fresh[i]) for i in chunk]
@@ -113,17 +119,19 @@ class Encoder:
                 self.ids.frombytes(ids.tobytes())
                 if self.spans:
                     shift = np.repeat(np.cumsum([0] + [len(fresh[i]) + 1 for i in chunk[:-1]]), n)[:, None]
-                    moved = np.array(found.offsets, np.int32) - shift.astype(np.int32)
+                    moved = np.array(offsets, np.int32) - shift.astype(np.int32)
                     self.first.frombytes(moved[:, 0].tobytes())
                     self.stop.frombytes(moved[:, 1].tobytes())
         for a in range(0, len(single), 2000):
             some = single[a : a + 2000]
-            for (i, _), found in zip(some, self._encode([piece for _, piece in some])):
-                start[i], size[i] = len(self.ids), len(found.ids)
-                self.ids.extend(found.ids)
+            for (i, _), (found, offsets) in zip(some, self._encode([piece for _, piece in some])):
+                start[i], size[i] = len(self.ids), len(found)
+                self.ids.extend(found)
                 if self.spans:
-                    self.first.extend(x for x, _ in found.offsets)
-                    self.stop.extend(y for _, y in found.offsets)
+                    self.first.extend(x for x, _ in offsets)
+                    self.stop.extend(y for _, y in offsets)
+        self.length.extend([len(x) - 1 if x[:1] == " " else len(x) + 1 for x in fresh])
+        self.chars += sum(map(len, fresh))
         self.start.frombytes(start.tobytes())
         self.size.frombytes(size.tobytes())
 
@@ -137,7 +145,7 @@ class Encoder:
     def pieces(self, texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
         """Keys per text, and the places of all keys in order."""
         cut = [self._keys(x) if x else [] for x in texts]
-        if len(self.at) > self.cached:
+        if len(self.at) > self.cached or self.chars > CACHED_CHARS:
             self.clear()
         which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         if self.at.fresh:
@@ -222,7 +230,7 @@ def pack(
         doc = np.searchsorted(ends, first, side="right")
         where = np.searchsorted(chosen, first, side="right") - 1
         rows = pd.DataFrame({
-            doc_id: [ids[i] for i in doc], "start": first - (ends - sizes)[doc], "length": last - first,
+            "id": [ids[i] for i in doc], "start": first - (ends - sizes)[doc], "length": last - first,
             "ids": [stream[a:b].astype("<u4").tobytes() for a, b in zip(first, last)], "doc_tokens": sizes[doc],
             "sequence_id": where + sequence, "offset": first - chosen[where]})
         return rows, sequence + len(chosen) - 1
@@ -236,8 +244,8 @@ def pack(
         for batch in batches:
             for a in range(0, len(batch), 500):
                 some = batch.iloc[a : a + 500]
-                for i, tokens in zip(some[doc_id], encoder.encode(some["text"].tolist())):
-                    ids.append(None if pd.isna(i) else i)
+                for i, tokens in zip(some["id"], encoder.encode(some["text"].tolist())):
+                    ids.append(i)
                     parts.append(np.append(tokens, np.uint32(end_id)))
                     size += len(tokens) + 1
                     if size >= run_tokens:
@@ -247,9 +255,11 @@ def pack(
         if parts:
             yield run(ids, parts, encoder, sequence)[0]
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"`{doc_id}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(doc_id, F.col(text).alias("text")).mapInPandas(packed, schema)
+    kind = docs.schema[doc_id].dataType
+    schema = "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    # as text, a large id beside a null one stays what it is
+    pieces = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(packed, schema)
+    return pieces.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", doc_id)
 
 
 @query("op4_packing")

@@ -2,11 +2,11 @@
 
 The tokens' spans and the sections' spans meet in an interval join within the row, by binary search. A token that
 crosses a boundary is allocated by an explicit rule: ``first`` gives it to the section of its first character,
-``most`` to the section that holds most of its characters (the earlier of equals). Tokens outside every section are
-counted in the section named null. Texts never leave their row and nothing is shuffled.
+``most`` to the section that holds most of its characters (the earlier of equals), among sections that do not overlap.
+Tokens that no section counts are counted in the section named null. Texts never leave their row and nothing is shuffled.
 
 Texts are cut before a blank that follows a visible character, where the tokenizer always starts a token, so the pieces
-encode as the whole text does. Defined results: null and empty texts have no tokens; their sections count 0. Repeated
+encode as the whole text does. Defined results: null and empty texts have no tokens; their sections, and sections without a first or end, count 0. Repeated
 rows are counted alike. Overlapping sections each count their own tokens by the rule. All columns of the input stay.
 """
 
@@ -26,33 +26,43 @@ from .packing import Encoder
 def _token_spans(encoder: Encoder, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """First and end characters of all tokens of every text."""
     cut, which = encoder.pieces(texts)
-    first, stop, start, count = (np.array(x) for x in (encoder.first, encoder.stop, encoder.start, encoder.size))
-    out, done = [], 0
-    for keys in cut:
-        own = which[done : done + len(keys)]
-        done += len(keys)
-        # a marked key is its piece behind the mark; any other is its piece without the blank
-        length = np.fromiter((len(x) - 1 if x[:1] == " " else len(x) + 1 for x in keys), np.int64, len(keys))
-        size = count[own]
-        index = np.repeat(start[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        shift = np.repeat(np.cumsum(length) - length, size)
-        out.append((first[index] + shift, stop[index] + shift))
+    start, size = np.frombuffer(encoder.start, np.int64)[which], np.frombuffer(encoder.size, np.int64)[which]
+    length = np.frombuffer(encoder.length, np.int32)[which].astype(np.int64)
+    out = np.cumsum(size)
+    index = np.repeat(start - (out - size), size) + np.arange(size.sum())
+    pieces = np.array([len(x) for x in cut], np.int64)
+    before = np.cumsum(length) - length
+    places = np.cumsum(pieces) - pieces  # of each text's first piece
+    origin = before[np.minimum(places, max(0, len(before) - 1))] if len(before) else np.zeros(len(texts), np.int64)
+    shift = np.repeat(before - np.repeat(origin, pieces), size)
+    first, stop = np.frombuffer(encoder.first, np.int32)[index] + shift, np.frombuffer(encoder.stop, np.int32)[index] + shift
+    bounds = np.concatenate([[0], out])[np.concatenate([[0], np.cumsum(pieces)])]
+    return [(first[a:b], stop[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _allocate(first: np.ndarray, end: np.ndarray, sections: list[tuple[int, int]], rule: str) -> list[tuple[int, int]]:
+    """The range of tokens that each section [a, b) counts."""
+    out = []
+    begins, stops = np.array([a for a, _ in sections]), np.array([b for _, b in sections])
+
+    def most(token: int, a: int, b: int) -> bool:
+        """Whether no section beside this one holds more of the token, or as much and begins earlier."""
+        held = np.minimum(stops, end[token]) - np.maximum(begins, first[token])
+        beside = (stops <= a) | (begins >= b)
+        own = min(b, end[token]) - max(a, first[token])
+        return own > 0 and not (beside & ((held > own) | (held == own) & (begins < a))).any()
+
+    for a, b in sections:
+        low, high = (int(x) for x in np.searchsorted(first, (a, max(a, b)), "left"))
+        if rule == "most" and b > a:
+            if high > low and end[high - 1] > b and not most(high - 1, a, b):
+                high -= 1
+            if low and end[low - 1] > a and most(low - 1, a, b):
+                low -= 1
+        out.append((low, max(low, high)))
     return out
 
 
-def _allocate(first: np.ndarray, end: np.ndarray, a: int, b: int, rule: str) -> int:
-    """How many tokens belong to the section [a, b)."""
-    low, high = np.searchsorted(first, a, "left"), np.searchsorted(first, b, "left")
-    if rule == "first":
-        return int(high - low)
-    count = int(high - low)
-    if high > low and end[high - 1] > b and 2 * (b - first[high - 1]) < end[high - 1] - first[high - 1]:
-        count -= 1  # most of the last token lies behind
-    if low and end[low - 1] > a and 2 * (min(end[low - 1], b) - a) > end[low - 1] - first[low - 1]:
-        count += 1  # most of the token before the section lies in it
-    return count
-
-
 def count_tokens(docs: DataFrame, sections: Column, tokenizer: str, text: str = "text", rule: str = "first", output: str = "sections") -> DataFrame:
     """The rows with ``output``: array of (name, first, end, n_tokens).
 
@@ -68,13 +78,16 @@ def count_tokens(docs: DataFrame, sections: Column, tokenizer: str, text: str =
             for i in range(0, len(texts), 1000):
                 some = texts.iloc[i : i + 1000].tolist()
                 for (first, end), own in zip(_token_spans(encoder, some), parts.iloc[i : i + 1000]):
-                    row, inside = [], 0
-                    for s in own if own is not None else ():
-                        n = _allocate(first, end, s["first"], s["end"], rule)
-                        inside += n
-                        row.append({"name": s["name"], "first": s["first"], "end": s["end"], "n_tokens": n})
-                    if inside < len(first):
-                        row.append({"name": None, "first": 0, "end": int(end[-1]), "n_tokens": len(first) - inside})
+                    own = [s for s in own if s is not None] if own is not None else []
+                    known = [s["first"] is not None and s["end"] is not None for s in own]
+                    ranges = _allocate(first, end, [(s["first"], s["end"]) for s, k in zip(own, known) if k], rule)
+                    outside, row, left = np.ones(len(first), bool), [], iter(ranges)
+                    for s, k in zip(own, known):
+                        low, high = next(left) if k else (0, 0)
+                        outside[low:high] = False
+                        row.append({"name": s["name"], "first": s["first"], "end": s["end"], "n_tokens": high - low})
+                    if outside.any():
+                        row.append({"name": None, "first": 0, "end": int(end[-1]), "n_tokens": int(outside.sum())})
                     rows.append(row)
             yield pd.Series(rows)
 

@@ -118,3 +118,15 @@ def test_ids_clashing_columns_and_no_rows(spark, plain):
     assert named.first().doc_id == "x"
     empty = alignment.align(df.limit(0), A, B)
     assert alignment.linked(empty, alignment.pair_counts(empty), ids_b).count() == 0
+
+
+def test_ranks_encode_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    from corpusflow.llm.byte_tokens import ByteTokens
+
+    plain = Tokenizer.from_file(A)
+    texts = [x for x in ODD if x] + ["a <|endoftext|> b", "<|endoftext|>"]
+    for special in (False, True):
+        plain.encode_special_tokens = not special
+        assert ByteTokens(A, special).encode(texts) == [plain.encode(x, add_special_tokens=False).ids for x in texts]
