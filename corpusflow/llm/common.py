@@ -13,6 +13,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system; workers stay for the stages that follow."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Texts go to Python in batches of at most so many rows: the session's setting counts rows, whatever their length."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -8,7 +8,7 @@ ones split further, and what is still larger at the greatest depth is compared b
 of runs follows from the target recall and from the chance that a pair at the threshold stays together to that depth.
 
 Comparing a node yields edges from each group of similar embeddings to its smallest member, never all pairs. The groups
-that these candidate edges span are then compared exactly, on the shingle sets themselves, in blocks of ``block`` sets:
+that these candidate edges span are then compared exactly, on the shingle sets themselves, in blocks of about ``block`` sets and ``block_shingles`` shingles at most:
 every pair of a group, so a link found in no run is still found when its group is. Links are counted there and never
 listed; classes are the components of exact links.
 
@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, query, stored, table
+from .common import components, give_back, query, stored, table
 
 TOKENS = 64
+CHARS = 1 << 19  # characters of text that are hashed at once
 _U = np.uint64
 
 
@@ -80,7 +81,7 @@ def _sets(width: int):
         for batch in batches:
             texts = batch.tolist()
             keys, sizes, sketches = [], [], []
-            for a, b in W.blocks(texts):
+            for a, b in W.blocks(texts, CHARS):
                 value, size = shingle_sets(texts[a:b], width)
                 sketch = _embed(value, size)
                 ends = np.cumsum(size)
@@ -90,6 +91,7 @@ def _sets(width: int):
                     sketches.append(sketch[i].tobytes())
                 sizes += size.tolist()
             yield pd.DataFrame({"key": keys, "n": sizes, "sketch": sketches})
+        give_back()
 
     return sets
 
@@ -194,12 +196,12 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("path", "key", "n", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(compared, "a binary, b binary")
 
 
-def _blocked(rows: DataFrame, sizes: DataFrame, by: str, block: int) -> DataFrame:
-    """Groups of more than ``block`` rows as pairs of blocks: each row goes to every pair that its block is part of."""
-    parts = F.ceil(F.col("_size") / block).cast("int")
+def _blocked(rows: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+    """Groups of several ``_parts`` as pairs of blocks: each row goes to every pair that its block is part of."""
+    parts = F.col("_parts")
     own = F.pmod(F.xxhash64("key"), parts.cast("long")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    wide = rows.join(sizes.select(by, F.col("_size")), by).withColumn("_pair", F.explode(pair))
+    wide = rows.join(sizes.select(by, "_parts"), by).withColumn("_pair", F.explode(pair))
     return wide.withColumn("_own", own).withColumn("_node", F.when(parts > 1, F.xxhash64(by, "_pair.i", "_pair.j")).otherwise(F.xxhash64(by)))
 
 
@@ -217,7 +219,7 @@ def candidate_groups(reps: DataFrame, threshold: float, recall: float, bucket: i
         found = _compare(rows.where(F.col("_size") <= bucket), threshold)
         large = sizes.where(F.col("_size") > bucket)
         if level == depth:
-            wide = _blocked(paths.join(light, "key"), large, "path", block)
+            wide = _blocked(paths.join(light, "key"), large.withColumn("_parts", F.ceil(F.col("_size") / block).cast("int")), "path")
             found = found.union(_compare(wide.select(F.col("_node").alias("path"), "key", "n", "sketch"), threshold))
         elif large.limit(1).count():
             paths = stored(_children(rows.where(F.col("_size") > bucket), threshold), "paths")
@@ -258,6 +260,7 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
                 lead = _groups_of(close | np.eye(len(rows), dtype=bool))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.binary()), pa.array(keys[lead], pa.binary()), pa.array(links)], ["a", "b", "links"])
+        give_back()
 
     wanted = rows.select("_node", "_own", (F.col("_pair.i") != F.col("_pair.j")).alias("_pair"), "key", "copies", "shingles")
     return wanted.repartition("_node").sortWithinPartitions("_node").mapInArrow(compared, "a binary, b binary, links long")
@@ -268,18 +271,19 @@ def _shingles(width: int):
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             texts, out = batch.tolist(), []
-            for a, b in W.blocks(texts):
+            for a, b in W.blocks(texts, CHARS):
                 value, size = shingle_sets(texts[a:b], width)
                 ends = np.cumsum(size)
                 out += [value[end - n : end].tobytes() for end, n in zip(ends.tolist(), size.tolist())]
             yield pd.Series(out)
+        give_back()
 
     return shingles
 
 
 def jaccard_classes(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, width: int = 5, threshold: float = 0.8,
-    recall: float = 0.999, bucket: int = 256, depth: int = 3, block: int = 1024,
+    recall: float = 0.999, bucket: int = 256, depth: int = 3, block: int = 1024, block_shingles: int = 1 << 19,
 ) -> DataFrame:
     """The documents with ``class_key`` (names the class), ``class_id`` and ``n_links``: the number of other rows with a
     Jaccard likeness of at least the threshold, copies included."""
@@ -294,8 +298,9 @@ def jaccard_classes(
     texts = docs.select(F.xxhash64(text).alias("t1"), F.hash(text).alias("t2"), F.col(text).alias("text"))
     found = live.select("key", "label", "copies", "t.t1", "t.t2").join(texts, ["t1", "t2"]).dropDuplicates(["key"])
     sets = stored(found.select("key", "label", "copies", _shingles(width)(F.col("text")).alias("shingles")), "shingles")
-    sizes = sets.groupBy("label").agg(F.count("*").alias("_size"))
-    exact = stored(_exact(_blocked(sets, sizes, "label", block), threshold), "links")
+    held = F.greatest(F.count("*") / block, F.sum(F.octet_length("shingles")) / (8 * block_shingles))
+    sizes = sets.groupBy("label").agg(F.ceil(held).cast("int").alias("_parts"))
+    exact = stored(_exact(_blocked(sets, sizes, "label"), threshold), "links")
     links = exact.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = components(exact.where("a != b").select("a", "b"), "classes").withColumnRenamed("v", "key")
     vertices = reps.select("key", "copies", "low").join(links, "key", "left").join(roots, "key", "left")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, in_fold, query, small, stored, table
+from .common import give_back, fold_of, in_fold, query, small, stored, table
 
 FRAME = "<window of text> "
 STEPS = 8  # differences of so many bytes or more share a bin
@@ -204,6 +204,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", output: str
         for batch in batches:
             logits = np.array([weights[0] + measure(x) @ weights[1:] for x in batch], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
+        del measure
+        give_back()
 
     return docs.withColumn(output, toxicity(F.col(text)))
 
