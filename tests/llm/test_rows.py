@@ -80,3 +80,45 @@ def test_lines_of_null_and_long_text(spark):
     found = {r.doc_id: [s.n_tokens for s in r.sections] for r in token_counts.count_tokens(df, token_counts.lines_of(F.col("text")), PATH).collect()}
     assert found[1] == [0, 0, 0] and found[2] == [0, 0, 0] and found[3][0] > 50_000 and found[3][2] == 1
     assert token_counts.count_tokens(df.limit(0), token_counts.lines_of(F.col("text")), PATH).count() == 0
+
+
+def test_mixing_base_scores_and_ids(spark):
+    from collections import Counter
+
+    from corpusflow.llm import mixing
+
+    rows = [(BIG + 3, "The cat sat", False), (BIG + 4, "the\x0bdog  the", False), (None, "a new cat", True), (2**53 + 1, None, True), (-5, "", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").coalesce(1)
+    tokens = lambda t: [x.decode() for x in "".join(c.lower() if c.isascii() else c for c in t or "").encode().split()] + ["<end>"]
+    count = Counter(x for _, t, h in rows if not h for x in tokens(t))
+    n, v = sum(count.values()), len(count)
+    found = {r.doc_id: r for r in mixing.score(df, "doc_id", "text", "held").collect()}
+    assert set(found) == {i for i, _, _ in rows}
+    for i, t, h in rows:
+        base = sum(np.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens(t))
+        assert found[i].base_score == pytest.approx(base, abs=1e-9) and found[i].train_tokens == n and found[i].held_out == h
+        assert (found[i].n_tokens, found[i].n_known) == (len(tokens(t)), sum(count[x] > 0 for x in tokens(t)))
+
+
+def test_mixing_works_where_the_package_is_not_installed(tmp_path):
+    """The query run from another folder, by workers that cannot import the package."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from corpusflow.llm import mixing, packing, jaccard
+from corpusflow.session import build_session
+spark = build_session("away", 2)
+df = spark.createDataFrame([(1, "a b c", False), (2, "a b", True)], "doc_id long, text string, held boolean")
+assert mixing.score(df, "doc_id", "text", "held").count() == 2
+assert packing.pack(df, {PATH!r}).count() == 2
+assert jaccard.jaccard_classes(df.select("doc_id", "text")).count() == 2
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
