@@ -8,7 +8,7 @@ each kind, those with the smallest hashes. Where no labelled findings are given,
 over the forest's own features label the findings that they settle (``weak_labels``).
 
 Defined results: null and empty texts have no candidates, a null path counts as empty. Equal rows (id, path and text)
-share one set of findings. Without labelled findings of both kinds nothing is removed: every score is 1.0. The control
+share one set of findings. Without labelled findings of both kinds there is no forest: a finding is what its own label says, and no secret without one. The control
 character U+0001 counts as a blank. In ``redact`` all columns stay and only texts with a secret change.
 """
 
@@ -129,9 +129,11 @@ def train(labelled: DataFrame, *, train_rows: int = 20_000, trees: int = 30, dep
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel | None, limit: float = 0.5) -> DataFrame:
-    """The findings with ``score`` and ``is_secret``."""
+    """The findings with ``score`` and ``is_secret``. Without a forest a finding is what its column ``label`` says, if it has
+    one; all others are no secrets."""
     if model is None:
-        return found.withColumn("score", F.lit(1.0)).withColumn("is_secret", F.lit(True))
+        known = F.coalesce(F.col("label").cast("double"), F.lit(0.0)) if "label" in found.columns else F.lit(0.0)
+        return found.withColumn("score", known).withColumn("is_secret", F.col("score") >= limit)
     model.setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_y")
     scored = model.transform(_vectors(found)).withColumn("score", vector_to_array("_p")[1])
     return scored.withColumn("is_secret", F.col("score") >= limit).drop("_p", "_r", "_y", "_features")
@@ -140,7 +142,8 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | None, limit
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", labelled: DataFrame | None = None) -> DataFrame:
     """All candidates with their features and verdicts; labelled findings default to those that rules settle."""
     found = stored(with_features(candidates(docs, doc_id, text, path), docs, text), "featured")
-    return judge(found, train(weak_labels(found) if labelled is None else labelled))
+    ruled = weak_labels(found) if labelled is None else found
+    return judge(ruled, train(ruled if labelled is None else labelled)).drop("label")
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:

@@ -122,3 +122,16 @@ assert jaccard.jaccard_classes(df.select("doc_id", "text")).count() == 2
     clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_labels_of_one_kind_remove_nothing(spark):
+    from corpusflow.llm import secrets
+
+    texts = [f"order 2024-01-{i % 28 + 1:02d}-{100000 + i} shipped on 2024-02-03T10:11:12 via 1Z999AA1012345{i:04d} ok" for i in range(30)] + [None, ""]
+    df = spark.createDataFrame([(i, t, "en", "src", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = secrets.scan(df)
+    kinds = {r.label for r in secrets.weak_labels(found).select("label").distinct().collect()}
+    if not {0, 1} <= kinds:
+        assert {r.text for r in secrets.redact(df).collect()} == set(texts)
+    one = secrets.scan(df, labelled=secrets.weak_labels(found).withColumn("label", F.lit(0)))
+    assert one.where("is_secret").count() == 0 and "label" not in one.columns
