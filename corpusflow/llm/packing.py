@@ -62,9 +62,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spans, self.cached = Tokenizer.from_file(path), spans, cached
-        self.ranks = None if spans else ByteTokens(path, special=True)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spans, self.cached, self.ranks = spans, cached, ByteTokens(path, special=True)
+        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
         self.rank = np.full(max(vocabulary.values()) + 1, 3, np.int8)
         self.blank = np.zeros(len(self.rank), bool)
         for token, i in vocabulary.items():
@@ -73,8 +72,18 @@ class Encoder:
             if token[-1:] in ".!?" or "\u010a" in token:  # the sign that stands for a line end
                 self.rank[i] = 1
             self.blank[i] = "\u0120" in token  # the sign that stands for a blank
+        if spans:
+            spelled = self.ranks.bytes + [x.encode() for x, _ in sorted(vocabulary.items(), key=lambda x: x[1])[len(self.ranks.bytes) :]]
+            begun = lambda x: sum(b & 0xC0 != 0x80 for b in x)  # characters that begin in it
+            count = lambda f: np.array([f(x) for x in spelled], np.int32)
+            self.begun, self.within = count(begun), count(lambda x: x[:1] != b"" and x[0] & 0xC0 == 0x80)
         self.clear()
 
+    def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Character spans of the tokens of a text; a part of a character spans all of it."""
+        stop = np.cumsum(self.begun[ids], dtype=np.int32)
+        return stop - self.begun[ids] - self.within[ids], stop
+
     @classmethod
     def held(cls, path: str, spans: bool = False) -> Encoder:
         """The encoder of this worker process, so that the tasks it runs share what it has learned."""
@@ -93,12 +102,6 @@ class Encoder:
         self.length = array("i")  # characters of each place's piece
         self.chars = 0  # of all keys
 
-    def _encode(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
-        """Ids, and character spans if asked for."""
-        if self.spans:
-            return [(x.ids, x.offsets) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [(x, ()) for x in self.ranks.encode(texts)]
-
     def _learn(self) -> None:
         """Encode the new keys: pieces without their blank, or whole pieces marked by a leading blank."""
         fresh, self.at.fresh = self.at.fresh, []
@@ -108,7 +111,7 @@ class Encoder:
         chunks = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
         for a in range(0, len(chunks), 200):
             some = chunks[a : a + 200]
-            for chunk, (found, offsets) in zip(some, self._encode([" " + " ".join([fresh[i] for i in x]) for x in some])):
+            for chunk, found in zip(some, self.ranks.encode([" " + " ".join([fresh[i] for i in x]) for x in some])):
                 ids = np.array(found, np.uint32)
                 begin = np.flatnonzero(self.blank[ids])
                 if len(begin) != len(chunk):
@@ -118,18 +121,19 @@ class Encoder:
                 start[chunk], size[chunk] = begin + len(self.ids), n
                 self.ids.frombytes(ids.tobytes())
                 if self.spans:
-                    shift = np.repeat(np.cumsum([0] + [len(fresh[i]) + 1 for i in chunk[:-1]]), n)[:, None]
-                    moved = np.array(offsets, np.int32) - shift.astype(np.int32)
-                    self.first.frombytes(moved[:, 0].tobytes())
-                    self.stop.frombytes(moved[:, 1].tobytes())
+                    shift = np.repeat(np.cumsum([0] + [len(fresh[i]) + 1 for i in chunk[:-1]]), n)
+                    first, stop = self.offsets(ids)
+                    self.first.frombytes((first - shift.astype(np.int32)).tobytes())
+                    self.stop.frombytes((stop - shift.astype(np.int32)).tobytes())
         for a in range(0, len(single), 2000):
             some = single[a : a + 2000]
-            for (i, _), (found, offsets) in zip(some, self._encode([piece for _, piece in some])):
+            for (i, _), found in zip(some, self.ranks.encode([piece for _, piece in some])):
                 start[i], size[i] = len(self.ids), len(found)
                 self.ids.extend(found)
                 if self.spans:
-                    self.first.extend(x for x, _ in offsets)
-                    self.stop.extend(y for _, y in offsets)
+                    first, stop = self.offsets(np.array(found, np.int64))
+                    self.first.frombytes(first.tobytes())
+                    self.stop.frombytes(stop.tobytes())
         self.length.extend([len(x) - 1 if x[:1] == " " else len(x) + 1 for x in fresh])
         self.chars += sum(map(len, fresh))
         self.start.frombytes(start.tobytes())

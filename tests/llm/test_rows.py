@@ -135,3 +135,21 @@ def test_labels_of_one_kind_remove_nothing(spark):
         assert {r.text for r in secrets.redact(df).collect()} == set(texts)
     one = secrets.scan(df, labelled=secrets.weak_labels(found).withColumn("label", F.lit(0)))
     assert one.where("is_secret").count() == 0 and "label" not in one.columns
+
+
+def test_spans_are_the_tokenizers(spark, folder):
+    import random
+
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    rng = random.Random(4)
+    signs = [*"ab é'1!", "\n", "\t", " the", "日", "\U0001f642", "  ", "."]
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
+    texts += [None, "", " ", "  ", " a", "  a b", "a ", "日本語 テキスト", "x <|endoftext|> y", " " * 300 + "x"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 90))) for _ in range(300)]
+    encoder = packing.Encoder(PATH, spans=True)
+    for some in (texts, texts[::-1]):
+        for text, (first, end) in zip(some, token_counts._token_spans(encoder, some)):
+            want = plain.encode(text or "", add_special_tokens=False).offsets
+            assert list(zip(first.tolist(), end.tolist())) == want, repr(text)[:80]
