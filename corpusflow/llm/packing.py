@@ -91,7 +91,7 @@ class Encoder:
 
         kept = tokenizers.__dict__.setdefault("_encoders_of_this_worker", {})
         if (path, spans) not in kept:
-            kept[path, spans] = cls(path, spans, 800_000)
+            kept[path, spans] = cls(path, spans, CACHED if spans else 800_000)
         return kept[path, spans]
 
     def clear(self) -> None:

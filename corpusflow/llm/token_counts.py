@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import query, table
 from .packing import Encoder
+from .words import blocks
+
+CHARS = 1 << 19  # characters of text whose tokens are held at once
 
 
 def _token_spans(encoder: Encoder, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -74,10 +77,9 @@ def count_tokens(docs: DataFrame, sections: Column, tokenizer: str, text: str =
     def counted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encoder = Encoder.held(tokenizer, spans=True)
         for texts, parts in batches:
-            rows = []
-            for i in range(0, len(texts), 1000):
-                some = texts.iloc[i : i + 1000].tolist()
-                for (first, end), own in zip(_token_spans(encoder, some), parts.iloc[i : i + 1000]):
+            rows, held = [], texts.tolist()
+            for a, b in blocks(held, CHARS):
+                for (first, end), own in zip(_token_spans(encoder, held[a:b]), parts.iloc[a:b]):
                     own = [s for s in own if s is not None] if own is not None else []
                     known = [s["first"] is not None and s["end"] is not None for s in own]
                     ranges = _allocate(first, end, [(s["first"], s["end"]) for s, k in zip(own, known) if k], rule)
@@ -89,7 +91,7 @@ def count_tokens(docs: DataFrame, sections: Column, tokenizer: str, text: str =
                     if outside.any():
                         row.append({"name": None, "first": 0, "end": int(end[-1]), "n_tokens": int(outside.sum())})
                     rows.append(row)
-            yield pd.Series(rows)
+            yield pd.Series(rows, dtype=object)
 
     return docs.withColumn(output, counted(F.col(text), sections))
 
