@@ -15,8 +15,9 @@ of their strings start in a smaller document elsewhere, (5) the block removes. D
 the steps reuse that shuffle. Anchors of very many different fragments (``hot``) send their strings one by one, dealt by
 the string's own hash, so no bucket gathers them. A block passes in slices of bounded size, so long texts do too.
 
-Bounds: a task holds one slice with its arrays (some 40 bytes a byte), the text of one block, or one bucket, whose
-size is that of a block; there are as many blocks and buckets as the input's size demands. Nothing goes to the driver but
+Bounds: a task holds one slice with its arrays (some 40 bytes a byte), the text of one block, or one bucket: the anchors
+of four blocks' worth of text or the fragments of one. There are as many blocks and buckets as the input's size demands;
+each slice sends one row of anchors to a bucket, so ``block_bytes`` should grow with the executors' memory on large inputs. Nothing goes to the driver but
 the input's size in bytes. Hashes only choose candidates and fold equal fragments of a slice (128 bits); strings of
 different blocks are compared byte by byte.
 
@@ -423,14 +424,15 @@ def repeated_spans(
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    slice_bytes = 2 * block_bytes
+    slice_bytes = max(1, block_bytes // 2)
+    buckets = -(-blocks // 4)  # of anchors: one per 16 bytes or so
     dealt = rows.where("id is not null").select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text")
 
     def anchors(key: tuple, of_block: pa.Table) -> pa.Table:
         block, out = _Block(of_block, length, slice_bytes), []
         for number, own in block.slices():
             found, count, several = own.shared()
-            bucket = _by_bucket(found, blocks)
+            bucket = _by_bucket(found, buckets)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             low = (found & _U(0xFFFFFFFF)).astype("<u4")
             marks = (np.minimum(count, 0x7FFF) | several.astype(np.int64) << 15).astype("<u2")
@@ -443,7 +445,7 @@ def repeated_spans(
         block, out = _Block(of_block, length, slice_bytes), []
         for number, own in block.slices() if answers.num_rows else ():
             place = 0
-            for sent in own.sent(_codes(own, number, answers, blocks), block):
+            for sent in own.sent(_codes(own, number, answers, buckets), block):
                 n = len(sent.first)
                 ids = block.ids.take(pa.array(np.searchsorted(block.ends, sent.at[sent.first], "right")))
                 out.append(pa.table({
@@ -462,7 +464,7 @@ def repeated_spans(
         for number, own in block.slices() if coded.num_rows else ():
             here = marked.filter(pc.equal(marked.column("slice"), number))
             place = 0
-            for sent in own.sent(_codes(own, number, coded, blocks), block):
+            for sent in own.sent(_codes(own, number, coded, buckets), block):
                 masks = np.zeros(len(sent.first), np.int64)
                 at = here.column("place").to_numpy() - place
                 fits = (at >= 0) & (at < len(masks))
