@@ -16,8 +16,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def _stream(t: Tables, table: str) -> DataFrame:
-    schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.folder)
+    """A table as a file stream, be it one file or a folder of files: a pattern may name either, a plain path a folder only."""
+    return t.spark.readStream.schema(getattr(t, table).schema).parquet(f"{t.folder}/{table}.parque[t]")
 
 
 @query("stream_ingest", r"""

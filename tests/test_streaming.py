@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.chunking import explode_chunks
 from corpusflow.operators.windows import session_window
+from corpusflow.plans.workloads import QUERIES
 from corpusflow.streaming import ingest
 from corpusflow.streaming.ingest import read_ingested, read_newest, run_available, stored_chunks, stream_ingest, write_batches
 from corpusflow.streaming.latest import stream_latest
@@ -147,3 +148,20 @@ def test_late_rows_count_within_the_delay_and_state_ends(spark, feed, tmp_path):
     assert found["late"] == "counts" and found["k5-0"] == "on time" and len(found) == 122
     rows = [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
     assert max(rows) <= 130 and rows[-1] <= 4  # 122 keys and 123 ids came; only those of open spans are held
+
+
+@pytest.mark.parametrize("name", ["stream_chunk_counts", "stream_ingest", "stream_session"])
+def test_tables_in_several_files_are_streamed_whole(spark, tmp_path, name):
+    """A large table is a folder of files, whose names are not the table's."""
+    documents = [(i, f"text {i} " * i, "s") for i in range(40)]
+    messages = [(c, t, ("user", "assistant")[t % 2], f"m{c} {t}") for c in range(5) for t in range(6)]
+    for kind, files in (("one", 1), ("many", 4)):
+        spark.createDataFrame(documents, "doc_id long, text string, source string").repartition(files).write.parquet(str(tmp_path / kind / "documents.parquet"))
+        spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").repartition(files).write.parquet(str(tmp_path / kind / "conversations.parquet"))
+    single = tmp_path / "single"
+    single.mkdir()
+    for table in ("documents", "conversations"):
+        (part,) = (tmp_path / "one" / f"{table}.parquet").glob("*.parquet")
+        (single / f"{table}.parquet").write_bytes(part.read_bytes())
+    found = [sorted(map(str, QUERIES[name](spark, str(at)).collect())) for at in (single, tmp_path / "many")]
+    assert found[0] == found[1] and len(found[0]) == {"stream_chunk_counts": 1, "stream_ingest": 40, "stream_session": 5}[name]
