@@ -2,21 +2,23 @@
 
 Seeds are numbered and stand for bits of long words. The walk's rows are (node, word, bits), 64 seeds a row where they
 meet, and not pairs of seed and node; a hop carries the newest bits along the edges and joins equal rows with
-``bit_or``, so parallel paths collapse below the shuffle. Every hop writes one table, the words seen so far and the
-bits that are new, which the next hop reads alone; no earlier level is read again. The walk is bounded by its hops;
-totals over all hops are counted from the bits, and only on request.
+``bit_or``, so parallel paths collapse, and one grouping with the levels before takes out what they hold. Every hop
+writes its new bits and no others. The rows of a hop are dealt out to as many tasks as their number asks for. The walk is
+bounded by its hops; totals over all hops are counted from the bits, and only on request.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.windows import cap_per_group
 from corpusflow.session import cut_lineage
 
+TASK_ROWS = 1 << 20
+
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     direction = (direction or "UPSTREAM").upper()
@@ -37,6 +39,11 @@ def _bit(place: Column | str) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(place) if isinstance(place, str) else place)
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows: no fewer than the session's, and no more than about `TASK_ROWS` rows in each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def walk(edges: DataFrame, numbered: DataFrame, direction: str, max_hops: int | None) -> list[DataFrame]:
     """One table (node, word, bits) per hop: the seeds of a word that reach the node first at this distance.
 
@@ -44,27 +51,23 @@ def walk(edges: DataFrame, numbered: DataFrame, direction: str, max_hops: int |
     hop stays lazy. A seed does not reach itself again.
     """
     ways = _oriented(edges, direction)
-    if max_hops != 1:
-        ways = cut_lineage(ways.distinct())
-    seen = numbered.select(F.col("seed").alias("node"), "word", _bit("bit").alias("seen"))
-    fresh = seen.withColumnRenamed("seen", "bits")
-    levels: list[DataFrame] = []
-    while max_hops is None or len(levels) < max_hops:
-        found = (
-            fresh.withColumnRenamed("node", "src").join(ways, "src")
-            .groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("found"))
-        )
-        last = len(levels) + 1 == max_hops
-        before, now = F.coalesce("seen", F.lit(0)), F.coalesce("found", F.lit(0))
-        state = found.join(seen, ["node", "word"], "left" if last else "full").select(
-            "node", "word", before.bitwiseOR(now).alias("seen"), now.bitwiseAND(F.bitwise_not(before)).alias("bits"))
-        if not last:
-            state = cut_lineage(state)
-        fresh, seen = state.where("bits <> 0").select("node", "word", "bits"), state.select("node", "word", "seen")
-        if not last and fresh.isEmpty():
-            break
+    rows = ways.count()
+    fresh = numbered.groupBy(F.col("seed").alias("node"), "word").agg(F.bit_or(_bit("bit")).alias("bits"))
+    levels, none = [fresh], F.lit(0).cast("long")
+    while max_hops is None or len(levels) <= max_hops:
+        found = fresh.withColumnRenamed("node", "src").join(ways, "src").select(F.col("dst").alias("node"), "word", F.col("bits").alias("found"), none.alias("seen"))
+        before = [x.select("node", "word", none.alias("found"), F.col("bits").alias("seen")) for x in levels]
+        met = reduce(DataFrame.unionByName, before, found).repartition(_tasks(edges.sparkSession, rows), "node", "word")
+        fresh = met.groupBy("node", "word").agg(
+            F.bit_or("found").bitwiseAND(F.bitwise_not(F.bit_or("seen"))).alias("bits")).where("bits <> 0")
+        if len(levels) != max_hops:
+            fresh = cut_lineage(fresh)
+            new = fresh.count()
+            if not new:
+                break
+            rows += new
         levels.append(fresh)
-    return levels
+    return levels[1:]
 
 
 def _places(levels: DataFrame) -> DataFrame:
@@ -81,15 +84,19 @@ def _one_hop(edges: DataFrame, seeds: DataFrame, direction: str) -> DataFrame:
     """A single hop meets each edge once: pairs need no bits."""
     ways = _oriented(edges, direction).withColumnRenamed("src", "seed")
     met = seeds.where("seed IS NOT NULL").select("seed").distinct().join(ways, "seed").where("seed <> dst")
-    return met.select("seed", F.col("dst").alias("node")).distinct().withColumn("degree", F.lit(1))
+    met = met.select("seed", F.col("dst").alias("node")).repartition(_tasks(edges.sparkSession, ways.count()), "seed", "node")
+    return met.distinct().withColumn("degree", F.lit(1))
+
+
+def _marked(levels: list[DataFrame], numbered: DataFrame) -> DataFrame:
+    """(node, word, bit, degree) of the levels."""
+    none = numbered.select(F.col("seed").alias("node"), "word", F.lit(0).cast("long").alias("bits")).where("false")
+    levels = levels or [none]
+    return _places(reduce(DataFrame.unionByName, [x.withColumn("degree", F.lit(hop)) for hop, x in enumerate(levels, 1)]))
 
 
-def _pairs(levels: list[DataFrame], numbered: DataFrame, like: DataFrame) -> DataFrame:
-    """(seed, node, degree) of the levels."""
-    if not levels:
-        return like.select("seed", F.col("seed").alias("node"), F.lit(1).alias("degree")).where("false")
-    marked = reduce(DataFrame.unionByName, [x.withColumn("degree", F.lit(hop)) for hop, x in enumerate(levels, 1)])
-    return _places(marked).join(numbered, ["word", "bit"]).select("seed", "node", "degree")
+def _named(marked: DataFrame, numbered: DataFrame) -> DataFrame:
+    return marked.join(numbered, ["word", "bit"]).drop("word", "bit")
 
 
 def lineage(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM", max_hops: int | None = 1) -> DataFrame:
@@ -100,7 +107,7 @@ def lineage(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM", max
     if max_hops == 1:
         return _one_hop(edges, seeds, direction)
     numbered = number_seeds(seeds)
-    return _pairs(walk(edges, numbered, direction, max_hops), numbered, seeds)
+    return _named(_marked(walk(edges, numbered, direction, max_hops), numbered), numbered).select("seed", "node", "degree")
 
 
 def lineage_all(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM") -> DataFrame:
@@ -109,16 +116,15 @@ def lineage_all(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM")
 
 
 def _totals(levels: list[DataFrame], numbered: DataFrame) -> DataFrame:
-    """(seed, total_all_hops): bits counted per place, without node names; 0 for seeds that reach nothing."""
+    """(word, bit, total_all_hops): bits counted per place, without node names; 0 for seeds that reach nothing."""
     everywhere = reduce(DataFrame.unionByName, [numbered.select("word", _bit("bit").alias("bits")), *[x.select("word", "bits") for x in levels]])
-    counted = _places(everywhere).groupBy("word", "bit").agg((F.count("*") - 1).alias("total_all_hops"))
-    return counted.join(numbered, ["word", "bit"]).select("seed", "total_all_hops")
+    return _places(everywhere).groupBy("word", "bit").agg((F.count("*") - 1).alias("total_all_hops"))
 
 
 def lineage_totals(edges: DataFrame, seeds: DataFrame, direction: str = "UPSTREAM") -> DataFrame:
     """How many nodes each seed reaches over all hops: (seed, total_all_hops)."""
     numbered = number_seeds(seeds)
-    return _totals(walk(edges, numbered, direction, None), numbered)
+    return _named(_totals(walk(edges, numbered, direction, None), numbered), numbered).select("seed", "total_all_hops")
 
 
 def capped_lineage(
@@ -133,4 +139,6 @@ def capped_lineage(
         return cap_per_group(lineage(edges, seeds, direction, max_hops), ["seed"], order, count)
     numbered = number_seeds(seeds)
     levels = walk(edges, numbered, direction, None)
-    return cap_per_group(_pairs(levels[:max_hops], numbered, seeds), ["seed"], order, count).join(_totals(levels, numbered), "seed")
+    # a seed is capped as its place, so that only what is left gets its name
+    near = cap_per_group(_marked(levels[:max_hops], numbered), ["word", "bit"], order, count).join(_totals(levels, numbered), ["word", "bit"])
+    return _named(near, numbered).select("seed", "node", "degree", "total_all_hops")

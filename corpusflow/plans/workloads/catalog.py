@@ -112,7 +112,7 @@ def objects(t: Tables) -> DataFrame:
 
 def _edges(t: Tables) -> DataFrame:
     node = lambda kind, column: F.concat(F.lit(f"{kind}/"), column)
-    lines = t.spread("lineitem")
+    lines = t.lineitem
     return (
         t.orders.select(node("customer", "o_custkey").alias("src"), node("order", "o_orderkey").alias("dst"))
         .unionByName(lines.select(node("order", "l_orderkey").alias("src"), node("part", "l_partkey").alias("dst")))
@@ -144,15 +144,18 @@ def hops(t: Tables) -> DataFrame:
 @query("lineage_capped", f"""
     WITH {_EDGES_SQL},
     seeds AS (SELECT 'part/' || p_partkey AS seed FROM part),
-    reached AS (SELECT DISTINCT seed, src AS node, 1 AS degree FROM seeds JOIN edges ON dst = seed)
-    SELECT seed, node, degree FROM (
-        SELECT *, row_number() OVER (PARTITION BY seed ORDER BY degree, node) AS rn FROM reached
-    ) WHERE rn <= 20
+    one AS (SELECT seed, src AS node, 1 AS degree FROM seeds JOIN edges ON dst = seed),
+    two AS (SELECT DISTINCT seed, src AS node, 2 AS degree FROM one JOIN edges ON dst = node),
+    reached AS (SELECT * FROM one UNION ALL SELECT * FROM two),
+    totals AS (SELECT seed, count(*) AS total_all_hops FROM reached GROUP BY 1)
+    SELECT seed, node, degree, total_all_hops FROM (
+        SELECT *, row_number() OVER (PARTITION BY seed ORDER BY degree, node) AS rn FROM reached WHERE degree <= 1
+    ) JOIN totals USING (seed) WHERE rn <= 20
 """)
 def capped(t: Tables) -> DataFrame:
-    """The first 20 orders one hop upstream of every part; nothing beyond that hop is walked."""
+    """The first 20 orders one hop upstream of every part, and how many nodes there are over all hops."""
     seeds = t.part.select(F.concat(F.lit("part/"), "p_partkey").alias("seed"))
-    return capped_lineage(_edges(t), seeds, "UPSTREAM", 1, 20)
+    return capped_lineage(_edges(t), seeds, "UPSTREAM", 1, 20, totals=True)
 
 
 @query("lineage_totals", f"""
