@@ -39,9 +39,17 @@ def bucket_of(word: Column, dims: int) -> Column:
     return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long") % dims).cast("int")
 
 
+def _runs(found: str) -> Column:
+    """(word, c) of a sorted array that is not empty: a text is one row, so its words are counted where it is read, without a shuffle."""
+    at = lambda i: F.get(found, i)
+    begins = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    ends = F.concat(F.slice(begins, 2, F.size(found)), F.array(F.size(found)))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(at(a).alias("word"), (b - a).cast("long").alias("c")))
+
+
 def embed_idf(docs: DataFrame, model: DataFrame, id: str, text: str = "text", dims: int = 64) -> DataFrame:
     """(id, embedding array<float>) of unit length; texts without words have the zero vector. Ids are distinct."""
-    counts = docs.select(id, F.explode(words(text)).alias("word")).groupBy(id, "word").agg(F.count("*").alias("c"))
+    counts = docs.select(id, F.array_sort(words(text)).alias("_words")).where(F.size("_words") > 0).select(id, F.inline(_runs("_words")))
     unknown = model.where("word IS NULL").head()["idf"]  # one row
     weighted = counts.join(model.where("word IS NOT NULL"), "word", "left").withColumn("w", F.col("c") * F.coalesce("idf", F.lit(unknown)))
     buckets = weighted.groupBy(id, bucket_of(F.col("word"), dims).alias("b")).agg(F.sum("w").alias("w"))
