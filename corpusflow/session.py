@@ -48,14 +48,26 @@ def spread_small(df: DataFrame, path: str) -> DataFrame:
     """Rows of a small input dealt out to all cores, for row-wise work that costs more than a shuffle of it.
 
     A small file is one scan task however many cores there are. An input of at least one full split per core
-    already keeps them all busy and is returned as it is: large text is never shuffled for this.
+    already keeps them all busy and is returned as it is, as is one of at least one file per core: large text is never
+    shuffled for this.
     """
     spark = df.sparkSession
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     cores = spark.sparkContext.defaultParallelism
     split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return df.repartition(cores) if files.getContentSummary(folder).getLength() < cores * split else df
+    held = files.getContentSummary(folder)
+    return df.repartition(cores) if held.getFileCount() < cores and held.getLength() < cores * split else df
+
+
+def text_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Rows go to Python in batches of at most so many bytes: the other setting counts rows, however long their texts.
+
+    A worker's memory then follows this bound, and not how many rows a task has.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(str(spark.conf.get(name)).strip()) <= most_bytes:
+        spark.conf.set(name, str(most_bytes))
 
 
 def _bytes(size: str) -> int:

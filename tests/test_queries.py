@@ -78,3 +78,36 @@ def test_import_needs_no_session():
 def test_search_terms_reach_the_stored_index(spark, folder):
     text = QUERIES["stored_index_search"](spark, folder)._jdf.queryExecution().executedPlan().treeString()
     assert "StringStartsWith(token,eau)" in text and "EqualTo(token,the)" in text
+
+
+def test_capped_lineage_counts_all_hops(spark, tmp_path):
+    """Part 1 is in 25 orders of 25 customers: 20 orders are listed, all 50 nodes counted."""
+    write = lambda name, schema, data: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write("orders", "o_orderkey long, o_custkey long", [(i, 100 + i) for i in range(25)])
+    write("lineitem", "l_orderkey long, l_partkey long, l_suppkey long", [(i, 1, 1) for i in range(25)] * 2)
+    write("part", "p_partkey long", [(1,), (2,)])
+    found = QUERIES["lineage_capped"](spark, str(tmp_path)).collect()
+    assert len(found) == 20 and {(r.seed, r.degree, r.total_all_hops) for r in found} == {("part/1", 1, 50)}
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark, tmp_path):
+    from pyspark.sql.functions import pandas_udf
+
+    from corpusflow.plans.workloads.base import Tables
+
+    spark.range(3000).selectExpr("id", "repeat('long ', 4000) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    @pandas_udf("long")
+    def in_batch(texts):
+        return texts.str.len() * 0 + texts.str.len().sum()
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    most = Tables(spark, str(tmp_path)).documents.select(in_batch("text").alias("n")).agg({"n": "max"}).head()[0]
+    assert most <= 8 << 20
+
+
+def test_words_are_counted_without_a_shuffle(spark, folder):
+    """Texts meet the weights by word and their sums meet by id; none is dealt out by id and word."""
+    keys = [line.split("hashpartitioning(")[1] for line in plan(QUERIES["embed_docs_idf"](spark, folder)).splitlines() if "hashpartitioning(" in line]
+    assert keys and not [k for k in keys if "doc_id#" in k and "word#" in k]
