@@ -49,7 +49,7 @@ def _runs(found: str) -> Column:
 
 def embed_idf(docs: DataFrame, model: DataFrame, id: str, text: str = "text", dims: int = 64) -> DataFrame:
     """(id, embedding array<float>) of unit length; texts without words have the zero vector. Ids are distinct."""
-    counts = docs.select(id, F.array_sort(words(text)).alias("_words")).where(F.size("_words") > 0).select(id, F.inline(_runs("_words")))
+    counts = docs.select(id, F.sort_array(words(text)).alias("_words")).where(F.size("_words") > 0).select(id, F.inline(_runs("_words")))
     unknown = model.where("word IS NULL").head()["idf"]  # one row
     weighted = counts.join(model.where("word IS NOT NULL"), "word", "left").withColumn("w", F.col("c") * F.coalesce("idf", F.lit(unknown)))
     buckets = weighted.groupBy(id, bucket_of(F.col("word"), dims).alias("b")).agg(F.sum("w").alias("w"))
