@@ -104,3 +104,82 @@ def test_mixing_scores_a_text_alike_alone_and_among_others():
         own, zero, _ = mixing._tokens([text])
         alone = mixing._score(own, zero, 1, np.ones(len(own)), codes, nodes, *mixing._inputs(*both.reshape(2, -1)), weights, slots)
         assert alone[0] == pytest.approx(together[i], abs=1e-9)
+
+
+def features(nodes, both, row, depth, places, i, own=0):
+    """Weights that the bit goes by, and their inputs; ``own``: how often the bit itself is left out of its counts."""
+    bit = int(nodes.bit[row[i]])
+    at, x = [], []
+    for k in range(mixing.CONTEXTS):
+        odds, gate = mixing._inputs(*(both[:, k, places[k, i]] - np.float32(own) * np.array([bit == 0, bit == 1], np.float32)))
+        at.append(k * mixing.GATES + int(gate))
+        x.append(float(odds))
+    return [*at, mixing.CONTEXTS * mixing.GATES + int(depth[i])], np.array([*x, 1.0]), bit
+
+
+def filled(both, how: str):
+    """Tables in which no place, every place, or every second place of a context has seen much."""
+    more = np.random.default_rng(5).integers(200, 900, both.shape).astype(np.float32)
+    if how == "sparse":
+        return both
+    if how == "mixed":
+        more[:, :, ::2] = 0
+    if how == "one context":
+        more[:, 2] = 0
+    return both + more
+
+
+HOW = ["sparse", "mixed", "one context", "full"]
+
+
+def test_mixing_levels_hold_every_bit_once():
+    tokens, owner, codes, nodes, _, row, depth, places = fitted(texts_of(5, 40), 1 << 6)
+    symbol = mixing._symbols(tokens, codes, nodes)
+    levels = mixing._levels(symbol, mixing._contexts(symbol, owner, codes), codes, 1 << 6, nodes)
+    found = [(r, d, *a) for d, rows, at in levels for r, a in zip(rows.tolist(), at.T.tolist())]
+    assert sorted(found) == sorted(zip(row.tolist(), depth.tolist(), *(2 * places[1:] + nodes.bit[row]).tolist()))
+
+
+@pytest.mark.parametrize("how", HOW)
+def test_mixing_slopes_equal_a_plain_version_however_full_the_tables_are(how, monkeypatch):
+    """Full tables take plain products of matrices, without sums by gate and depth: most of the time of the fit at size."""
+    texts, slots = texts_of(5, 40), 1 << 6
+    _, _, codes, nodes, both, row, depth, places = fitted(texts, slots)
+    both, weights = filled(both, how), mixing.equal_weights()
+    slope, bend = np.zeros(mixing.WEIGHTS), np.zeros((mixing.WEIGHTS, mixing.WEIGHTS))
+    for i in range(len(row)):
+        at, x, bit = features(nodes, both, row, depth, places, i, own=1)
+        p = 1 / (1 + np.exp(-x @ weights[at]))
+        slope[at] += (bit - p) * x
+        bend[np.ix_(at, at)] += p * (1 - p) * np.outer(x, x)
+    calls, plain = [], mixing._add_by_gate
+    monkeypatch.setattr(mixing, "_add_by_gate", lambda *a: (calls.append(1), plain(*a)))
+    found = mixing._slopes([texts[:2], [], texts[2:]], codes, nodes, *mixing._kinds(*both.reshape(2, -1)))
+    assert found[0] == pytest.approx(slope, abs=1e-3) and found[1:] == pytest.approx(np.triu(bend), abs=1e-3)
+    assert bool(calls) == (how != "full")
+
+
+@pytest.mark.parametrize("how", HOW)
+@pytest.mark.parametrize("scale", [1, 60])  # weights of 18 lose bits by odds whose product is beyond a float
+def test_mixing_scores_equal_a_plain_version(how, scale):
+    texts, slots, block, rate = ["", *texts_of(3, 40), "new words only", *texts_of(2, 9)], 1 << 6, 16, 0.05
+    tokens, owner, codes, nodes, both, row, depth, places = fitted(texts, slots)
+    both, weights = filled(both, how), scale * mixing.equal_weights()
+    symbol = mixing._symbols(tokens, codes, nodes)
+    of = np.repeat(np.arange(len(tokens)), codes.length[symbol])
+    want = np.zeros(len(texts))
+    for text in range(len(texts)):
+        mine, w = np.flatnonzero(owner == text), weights.copy()
+        for begin in range(0, len(mine), block):
+            bits, step = np.flatnonzero(np.isin(of, mine[begin : begin + block])), np.zeros(mixing.WEIGHTS)
+            for i in bits:
+                at, x, bit = features(nodes, both, row, depth, places, i)
+                sign = 2 * bit - 1
+                miss = np.exp(min(-sign * float(x @ w[at]), 700.0))
+                want[text] -= np.log1p(miss) / np.log(10)
+                step[at] += sign * x * miss / (1 + miss)
+            w += rate / len(bits) * step
+        want[text] += -1.0 * (symbol[mine] == len(codes.token)).sum()
+    kinds, zeros, ones = mixing._kinds(*both.reshape(2, -1))
+    found = mixing._score(tokens, owner, len(texts), np.zeros(len(tokens)), codes, nodes, *mixing._inputs(zeros, ones), weights, slots, kinds=kinds)
+    assert found == pytest.approx(want, rel=1e-9)
