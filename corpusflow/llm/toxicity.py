@@ -16,7 +16,6 @@ the input stay; the new ones replace columns of the same name.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,8 @@ from .common import give_back, fold_of, in_fold, query, small, stored, table
 
 FRAME = "<window of text> "
 STEPS = 8  # differences of so many bytes or more share a bin
-_WORD = "[^\\x00-\\x40\\x5b-\\x60\\x7B-\\x7F]+"
+_WORD = "[^\\x00-\\x60\\x7B-\\x7F]+"  # of lower-cased text
+_LETTERS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))  # the same in UTF-8: other bytes become spaces
 _FEATURES = T.ArrayType(T.DoubleType())
 
 
@@ -44,11 +44,25 @@ class Model:
 
 def _windows(text: str) -> list[bytes]:
     """Every word whole, long ones in pieces of 48 bytes."""
-    out = []
-    for word in re.findall(_WORD, text.lower()):
-        raw = word.encode()
-        out += [raw] if len(raw) <= 48 else [raw[i : i + 48] for i in range(0, len(raw), 48)]
-    return out
+    words = text.lower().encode().translate(_LETTERS).split()
+    if len(max(words, key=len, default=b"")) > 48:
+        words = [word[i : i + 48] for word in words for i in range(0, len(word), 48)]
+    return words
+
+
+class _Memo(dict):
+    """Values of a function by window: the latest ``most`` windows, and behind them as many met before."""
+
+    def __init__(self, value, most: int = 250_000):
+        self.value, self.most, self.before = value, most, {}
+
+    def __missing__(self, window: bytes) -> int:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        known = self.before.get(window)
+        self[window] = known = self.value(window) if known is None else known
+        return known
 
 
 def _measure(toxic: bytes, ordinary: bytes, level: int):
@@ -60,19 +74,17 @@ def _measure(toxic: bytes, ordinary: bytes, level: int):
         d.precompute_compress(level=level)
         return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False).compress
 
-    known, rude, frame, memo = compressor(ordinary), compressor(toxic), FRAME.encode(), {}
+    known, rude, frame = compressor(ordinary), compressor(toxic), FRAME.encode()
+
+    def step(window: bytes) -> int:
+        framed = frame + window + b" "
+        return min(max(len(known(framed)) - len(rude(framed)), 0), STEPS)
 
-    def of(window: bytes) -> int:
-        step = memo.get(window)
-        if step is None:
-            if len(memo) > 250_000:
-                memo.clear()
-            framed = frame + window + b" "
-            step = memo[window] = min(max(len(known(framed)) - len(rude(framed)), 0), STEPS)
-        return step
+    memo = _Memo(step)
 
     def shares(text: str | None) -> np.ndarray:
-        steps = np.fromiter(map(of, _windows(text)) if text else (), np.int64)
+        windows = _windows(text) if text else []
+        steps = np.fromiter(map(memo.__getitem__, windows), np.int64, len(windows))
         above = np.bincount(steps, minlength=STEPS + 1)[::-1].cumsum()[::-1][1:]
         # the square root lets one clear hit in a long text still count
         return np.log1p(200.0 * above / (len(steps) + 50.0)), np.log1p(above)

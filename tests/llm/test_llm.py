@@ -335,6 +335,59 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_toxicity_compresses_recent_windows_once(monkeypatch):
+    import zstandard
+
+    calls = []
+
+    class Compressor:
+        def __init__(self, **_):
+            pass
+
+        def compress(self, framed):
+            calls.append(framed)
+            return framed
+
+    monkeypatch.setattr(zstandard, "ZstdCompressor", Compressor)
+    measure = toxicity._measure(b"toxic", b"ordinary", 19)
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in str(i)) for i in range(260_000)]
+    for i in range(0, len(words), 5000):
+        measure(" ".join(words[i : i + 5000]))
+    measure(" ".join(words[-20_000:] + words[200_000:210_000]))
+    assert len(calls) == 2 * len(words)
+
+
+def test_toxicity_memo_is_bounded_and_right():
+    seen = []
+    memo = toxicity._Memo(lambda w: seen.append(w) or len(w), 3)
+    draw = random.Random(3)
+    for _ in range(500):
+        word = b"x" * draw.randrange(12)
+        assert memo[word] == len(word) and len(memo) <= 3 and len(memo.before) <= 3
+    assert len(seen) < 500
+
+
+def test_toxicity_windows_are_the_words_spark_counts(spark):
+    draw = random.Random(7)
+    chars = [*"aZqé\u03a3\u0130\u212a\xa0\x85\u2028\u3000日😀", *map(chr, range(1, 128))]
+    texts = [x or "" for _, x in ODD] + ["ÄÖ" * 40 + " b", "x" * 48 + " " + "y" * 49] + ["".join(draw.choices(chars, k=60)) for _ in range(300)]
+
+    def plain(text):
+        out = []
+        for word in re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.lower()):
+            raw = word.encode()
+            out += [raw[i : i + 48] for i in range(0, len(raw), 48)]
+        return out
+
+    assert [toxicity._windows(x) for x in texts] == [plain(x) for x in texts]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "toxic int, text string")
+    found = {r.toxic: r.w for r in toxicity._words(rows, "text", "toxic").collect()}
+    assert [b"".join(x.encode() for x in found[i]) for i in range(len(texts))] == [b"".join(plain(x)) for x in texts]
+    old = F.regexp_extract_all(F.lower("text"), F.lit("[^\\x00-\\x40\\x5b-\\x60\\x7B-\\x7F]+"), F.lit(0))
+    assert {r.toxic: r.w for r in rows.select("toxic", old.alias("w")).collect()} == found
+
+
 # the pipeline
 
 def test_pipeline_stages(spark, folder):
